@@ -12,8 +12,9 @@ NUMBER_PATTERN = (
 )
 MONEY_PATTERN = r"^([+-]?[0-9_]*\.?[0-9]+) ([A-Z][A-Z0-9]*)$"
 
-QUANTITY = "decimal(28,8)"
-NOTIONAL = "decimal(38,8)"
+# Narrow enough that a sum of sums still keeps all eight decimals.
+QUANTITY = "decimal(26,8)"
+NOTIONAL = "decimal(26,8)"
 MONEY = "decimal(38,18)"
 
 
@@ -96,7 +97,9 @@ def spread_bps(bid: Column | str, ask: Column | str) -> Column:
     """Spread over mid in basis points at a fixed scale; NULL unless the spread is positive."""
     bid, ask = _col(bid), _col(ask)
     spread = ask - bid
-    bps = F.try_divide(spread * F.lit(20000), ask + bid).cast("decimal(20,10)")
+    # Operand types that leave the quotient more digits than are kept.
+    twice = (spread * F.lit(20000)).try_cast("decimal(22,10)")
+    bps = F.try_divide(twice, (ask + bid).try_cast("decimal(20,10)")).try_cast("decimal(20,10)")
     return F.when(spread > 0, bps)
 
 

@@ -117,10 +117,13 @@ def running(
     carried = totals.select(*keys, _BLOCK, *[t.carry(n, outer).alias(f"_carry_{n}") for n, t in tracks.items()])
 
     joined = local.join(carried, [*keys, _BLOCK], "left")
-    return joined.select(
-        *df.columns,
-        *[t.merge(F.col(f"_carry_{n}"), F.col(f"_local_{n}")).alias(n) for n, t in tracks.items()],
-    )
+
+    def merged(name: str, track: Track) -> Column:
+        # A sum of sums has a wider decimal type than a sum; adding both would cost decimals.
+        as_type = local.schema[f"_local_{name}"].dataType
+        return track.merge(F.col(f"_carry_{name}").cast(as_type), F.col(f"_local_{name}")).alias(name)
+
+    return joined.select(*df.columns, *[merged(n, t) for n, t in tracks.items()])
 
 
 def _facing(track: Track, reverse: bool) -> Track:

@@ -89,7 +89,7 @@ def priority_tif(priority: Column) -> Column:
 def _seq(phase: int, ts: str, line: Column, part: Column, supp: Column) -> Column:
     return F.struct(
         F.lit(phase).alias("phase"),
-        F.col(ts).alias("at"),
+        F.col(ts).alias("happened"),
         line.cast("int").alias("line"),
         part.cast("bigint").alias("part"),
         supp.cast("bigint").alias("supp"),
@@ -98,7 +98,7 @@ def _seq(phase: int, ts: str, line: Column, part: Column, supp: Column) -> Colum
 
 def order_block() -> Column:
     """Blocks for scans along the ``seq`` of order events: one per phase, day and line."""
-    return F.struct("seq.phase", "seq.at", "seq.line")
+    return F.struct("seq.phase", "seq.happened", "seq.line")
 
 
 def initialized(orders: DataFrame) -> DataFrame:
@@ -149,7 +149,8 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed order events: initialized, filled, canceled."""
     orders = table(spark, sf_dir, "orders")
     events = initialized(orders).unionByName(filled(table(spark, sf_dir, "lineitem")), allowMissingColumns=True)
-    return events.unionByName(canceled(orders), allowMissingColumns=True)
+    events = events.unionByName(canceled(orders), allowMissingColumns=True)
+    return events.withColumn("topic", F.lit("events.order.V1"))
 
 
 def order_log(events: DataFrame) -> DataFrame:
@@ -177,6 +178,30 @@ def order_log(events: DataFrame) -> DataFrame:
     )
 
 
+def text_seq() -> Column:
+    """``seq`` of order events as a text that sorts the same way, for readers that want a plain column."""
+    return F.concat_ws(
+        "-",
+        _text("seq.phase"),
+        F.date_format("seq.happened", "yyyyMMddHHmmss"),
+        F.lpad(_text("seq.line"), 3, "0"),
+        F.lpad(_text("seq.part"), 15, "0"),
+        F.lpad(_text("seq.supp"), 15, "0"),
+    )
+
+
+def text_block() -> Column:
+    """Blocks for scans along :func:`text_seq`: one per phase, day and line."""
+    return F.substring("seq", 1, 20)
+
+
+def live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations log and order log in one."""
+    orders = order_log(order_events(spark, sf_dir)).withColumn("seq", text_seq())
+    ops = ops_log(spark, sf_dir).withColumn("seq", F.lpad(_text("seq"), 20, "0"))
+    return orders.unionByName(ops)
+
+
 def order_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with nested options, prices as text and book-keeping flags."""
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
@@ -216,7 +241,7 @@ def position_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = F.col("o_orderstatus") == "F"
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("P"), _text("o_custkey")).alias("position_id"),
-        F.struct(F.col("o_orderdate").alias("at"), key.alias("number")).alias("seq"),
+        F.struct(F.col("o_orderdate").alias("happened"), key.alias("number")).alias("seq"),
         F.col("o_orderdate").alias("ts"),
         F.when(closed, "PositionClosed").when(F.col("o_orderstatus") == "O", "PositionOpened").otherwise("PositionChanged").alias("type"),
         F.concat(F.lit("S"), _text(F.col("o_custkey") % 200)).alias("strategy_id"),
@@ -380,6 +405,85 @@ def interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, sides and states with a few nobody has heard of."""
+    k = F.col("k")
+    known = ("OrderFilled", "OrderCanceled", "OrderDenied", "PositionOpened", "PositionClosed", "Signal", "OrderSplit")
+    return clicks(spark, sf_dir).select(
+        "event_id",
+        _pick(known, k).alias("type"),
+        _pick(("BUY", "SELL", "LONG", "SHORT", "FLAT", "ODD"), k).alias("side"),
+        _pick(TRANSIENT_AND_OTHER_STATES, k).alias("state"),
+    )
+
+
+def market_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of several types, order-book changes among them."""
+    type_ = _by_kind(
+        F.lit("QuoteTick"), F.lit(None).cast("string"), F.lit("OrderBookDelta"), F.lit("TradeTick"), F.lit("OrderBookDeltas")
+    )
+    return table(spark, sf_dir, "events").select("event_id", "ts", type_.alias("type"))
+
+
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as they may be written, and things that are none."""
+    k, n = F.col("k"), _text("k")
+    text = (
+        F.when(k % 12 == 0, F.concat(n, F.lit("_000")))
+        .when(k % 12 == 1, F.concat(n, F.lit("__000")))
+        .when(k % 12 == 2, F.concat(F.lit("  "), n, F.lit(" ")))
+        .when(k % 12 == 3, F.concat(n, F.lit("e3")))
+        .when(k % 12 == 4, F.lit("nan"))
+        .when(k % 12 == 5, F.lit("-inf"))
+        .when(k % 12 == 6, F.concat(F.lit("x"), n))
+        .when(k % 12 == 7, F.lit(""))
+        .when(k % 12 == 8, F.concat(n, F.lit(".0f")))
+        .when(k % 12 == 9, F.concat(F.lit("0x"), n))
+        .when(k % 12 == 10, F.concat(n, F.lit(".25")))
+        .otherwise(F.concat(F.lit("-."), n))
+    )
+    return clicks(spark, sf_dir).select("event_id", text.alias("text"))
+
+
+def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as custom messages: objects with and without title and colour, and plain text."""
+    turn = F.col("turn")
+    topic_and_body = F.to_json(
+        F.struct(
+            F.when(turn % 2 == 0, F.col("role")).alias("title"),
+            F.col("text").alias("text"),
+            F.when(turn % 3 == 0, F.lit(255)).alias("color"),
+        )
+    )
+    plain = F.concat(F.lit("note: "), F.col("text"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.lit("ops.message").alias("topic"),
+        F.when(turn % 4 == 3, plain).otherwise(topic_and_body).alias("payload"),
+    )
+
+
+def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry in which handles end in one another: every nation, and some again behind ``X-``."""
+    nation = table(spark, sf_dir, "nation")
+    plain = nation.select(F.col("n_name").alias("strategy_id"), F.when(F.col("n_nationkey") % 2 == 0, "live").otherwise("sandbox").alias("mode"))
+    longer = nation.where(F.col("n_nationkey") % 3 == 0).select(
+        F.concat(F.lit("X-"), F.col("n_name")).alias("strategy_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, "sandbox").otherwise("live").alias("mode"),
+    )
+    return plain.unionByName(longer)
+
+
+def handle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event ids of customers that end in such handles, or in a name that is none."""
+    key = F.col("c_custkey")
+    middle = F.when(key % 4 == 0, "").when(key % 4 == 1, "X-").when(key % 4 == 2, "Y-Z-").otherwise("X")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), _text(key % 1000), F.lit("-"), middle, F.lit("NATION_"), _text("c_nationkey")).alias("strategy_id")
+    )
+
+
 # --- customers -----------------------------------------------------------------------------------
 
 
