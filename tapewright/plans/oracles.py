@@ -180,7 +180,7 @@ states AS (
     'S' || (o_custkey % 200) AS strategy_id, 'I' || (o_custkey % 50) || '.V' || (o_custkey % 5) AS instrument_id,
     'V' || (o_custkey % 5) AS venue, CASE WHEN o_custkey % 2 = 0 THEN 'USDT' ELSE 'BTC' END AS currency,
     CASE WHEN o_orderstatus = 'F' THEN 'FLAT' WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
-    20 + (o_orderkey % 10) * 20 AS quantity, CAST(o_totalprice / 100 AS DECIMAL(18,2)) AS pnl,
+    20 + (o_orderkey % 10) * 20 AS quantity, CAST(o_totalprice / 100 AS DECIMAL(18,4)) AS pnl,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age
   FROM orders)"""
 

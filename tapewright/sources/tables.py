@@ -237,7 +237,7 @@ def order_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def position_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position events of customers: one per order, closed by orders of status F."""
     key = F.col("o_orderkey")
-    pnl = (F.col("o_totalprice") / 100).cast("decimal(18,2)")
+    pnl = (F.col("o_totalprice") / 100).cast("decimal(18,4)")
     closed = F.col("o_orderstatus") == "F"
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("P"), _text("o_custkey")).alias("position_id"),
@@ -252,8 +252,8 @@ def position_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         (20 + (key % 10) * 20).alias("quantity"),
         F.col("o_totalprice").alias("avg_px_open"),
         F.when(closed, F.col("o_totalprice")).alias("avg_px_close"),
-        F.when(closed, pnl).otherwise(F.lit(0).cast("decimal(18,2)")).alias("realized_pnl"),
-        F.when(~closed, pnl).otherwise(F.lit(0).cast("decimal(18,2)")).alias("unrealized_pnl"),
+        F.when(closed, pnl).otherwise(F.lit(0).cast("decimal(18,4)")).alias("realized_pnl"),
+        F.when(~closed, pnl).otherwise(F.lit(0).cast("decimal(18,4)")).alias("unrealized_pnl"),
         F.when(~closed, F.col("o_totalprice").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("exposure"),
     )
 

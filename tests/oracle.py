@@ -22,7 +22,7 @@ def connect(sf_dir: str):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     if isinstance(v, datetime):
         return v.replace(tzinfo=None).isoformat()
     return v
