@@ -22,8 +22,9 @@ from tapewright.operators import (
     signals,
 )
 from tapewright.plans import forwarding
-from tapewright.session import tune
+from tapewright.session import run_dir, tune
 from tapewright.sources import log as logs, tables
+from tapewright.streaming.live import start_live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -482,3 +483,27 @@ def arm_flips(spark, d):
     full = _grid(signals.hourly_bars(readings, order="seq"))
     polled = _grid(signals.hourly_bars(signals.floored_polls(readings, POLL_OFFSET_MINUTES)))
     return signals.arm_flips(full, polled)
+
+
+# --- streaming -----------------------------------------------------------------------------------
+
+
+@query
+def live_pipeline(spark, d):
+    """The pipeline of ``forwarded_log`` as a stream. Here a completed order is forgotten at once."""
+    path = run_dir(spark, "live")
+    tables.live_log(spark, d).write.parquet(f"{path}/log")
+    log = logs.stream_log(spark, f"{path}/log", schema=spark.read.parquet(f"{path}/log").schema)
+    start_live(log, lambda: reg.latest_registry(tables.announces(spark, d)), f"{path}/out", available_now=True).awaitTermination()
+    events = spark.read.parquet(f"{path}/out/events")
+    return longs(
+        doubles(
+            events.select(
+                "seq", "topic", "event_type", "strategy_id", "client_order_id", "handle", "channel",
+                "qty_total", "qty_filled", "fill_count", "vwap",
+            ),
+            "qty_total",
+            "qty_filled",
+        ),
+        "fill_count",
+    )

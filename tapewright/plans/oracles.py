@@ -221,6 +221,25 @@ def _grid(bars: str, name: str) -> str:
 {name} AS (SELECT *, coalesce(oi_delta >= threshold, false) AS armed FROM {name}_t)"""
 
 
+# After the first completing fill the order is forgotten: later fills count from zero, of an unknown total.
+FORGETTING = (
+    RUNNING
+    + """,
+closed AS (
+  SELECT *, coalesce(sum(CASE WHEN type = 'OrderFilled' AND qty_total IS NOT NULL AND is_complete THEN 1 ELSE 0 END) OVER
+    (PARTITION BY client_order_id ORDER BY phase, happened, line, part, supp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    0) > 0 AS anew
+  FROM progress),
+lived AS (
+  SELECT phase, happened, line, part, supp, type, strategy_id, client_order_id,
+    CASE WHEN NOT anew THEN total END AS qty_total, coalesce(sum(last_qty) OVER v, 0) AS filled,
+    count(last_qty) OVER v AS fill_count, coalesce(sum(paid) OVER v, 0) AS notional, anew OR is_complete AS is_complete
+  FROM closed
+  WINDOW v AS (PARTITION BY client_order_id, anew ORDER BY phase, happened, line, part, supp
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+)
+
+
 ORACLES: dict[str, str] = {
     "topic_filter": f"WITH {OPS} SELECT stream_key, seq, topic FROM forwarded",
     "decode_events": f"""WITH {OPS}
@@ -280,6 +299,16 @@ FROM progress p LEFT JOIN registry r ON p.strategy_id = 'Cls-' || r.strategy_id
 WHERE p.type = 'OrderCanceled' OR (p.type = 'OrderFilled' AND p.is_complete)
 UNION ALL
 SELECT lpad(CAST(seq AS VARCHAR), 20, '0'), topic, event_type, strategy_id, NULL, handle, channel FROM routed""",
+    "live_pipeline": f"""WITH {FORGETTING}, {OPS_ANNOUNCES}, {ROUTED_OPS.format(source="gated")}
+SELECT {SEQ_TEXT} AS seq, 'events.order.V1' AS topic, p.type AS event_type, p.strategy_id, p.client_order_id,
+  coalesce(r.strategy_id, p.strategy_id) AS handle, CASE WHEN r.mode = 'live' THEN 'live' ELSE 'sandbox' END AS channel,
+  p.qty_total, CAST(p.filled AS DOUBLE) AS qty_filled, p.fill_count,
+  CAST(p.notional AS DOUBLE) / nullif(CAST(p.filled AS DOUBLE), 0) AS vwap
+FROM lived p LEFT JOIN registry r ON p.strategy_id = 'Cls-' || r.strategy_id
+WHERE p.type = 'OrderCanceled' OR (p.type = 'OrderFilled' AND p.is_complete)
+UNION ALL
+SELECT lpad(CAST(seq AS VARCHAR), 20, '0'), topic, event_type, strategy_id, NULL, handle, channel, NULL, NULL, NULL, NULL
+FROM routed""",
     "order_progress_final": f"""WITH {FINAL}
 SELECT client_order_id, qty_total, qty_filled, fill_count, vwap, qty_filled / nullif(qty_total, 0) * 100 AS pct,
   qty_total - qty_filled AS remainder, known_side, known_type, known_tif,
