@@ -40,7 +40,9 @@ def safe_number(text: Column | str) -> Column:
 
 def safe_quantity(text: Column | str) -> Column:
     """Text to an exact quantity. NaN and infinities have no exact form and become NULL."""
-    return number_text(text).try_cast(QUANTITY)
+    text = _col(text)
+    separated = F.when(text.contains("_"), number_text(text).try_cast(QUANTITY))
+    return F.coalesce(text.try_cast(QUANTITY), separated)
 
 
 def notional(quantity: Column, price: Column) -> Column:

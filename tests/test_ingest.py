@@ -159,3 +159,26 @@ def test_unknown_names_have_default_labels(spark):
         ("[Order filled]", "Buy", 0x2ECC71, "green"),
         ("[New]", "ODD", vocab.DEFAULT_EVENT_COLOR, "square"),
     ]
+
+
+def test_exact_quantities(spark):
+    texts = ["8186.6", "1_000", "1__0", " 5 ", "1e3", "abc", "", None, "1.0f", "0x1", "nan", "inf"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(values.safe_quantity("t").alias("n")).collect()
+    assert [None if r.n is None else float(r.n) for r in got] == [8186.6, 1000.0, None, 5.0, 1000.0] + [None] * 7
+
+
+def test_fields_in_one_parse(spark):
+    rows = [
+        ("t", '{"type":"A","quantity":5,"strategy_id":"S","extra":{"x":1}}'),
+        ("t", '{"type":7,"strategy_id":5}'),
+        ("t", '{"type":"A","type":"B","strategy_id":{"x":"S"}}'),
+        ("t", '[{"type":"A"}]'),
+        ("t", '"A"'),
+        ("t", '{"type":"A", broken'),
+        ("t", None),
+    ]
+    df = ingest.object_fields(log_of(spark, rows), ["type", "quantity"], text_only=["strategy_id"])
+    got = sorted(df.collect(), key=lambda r: r.seq)
+    assert [(r.type, r.quantity, r.strategy_id) for r in got] == [
+        ("A", "5", "S"), ("7", None, None), ("B", None, None), *[(None, None, None)] * 4,
+    ]
