@@ -114,3 +114,11 @@ def right_labelled_hour(ts: Column | str) -> Column:
     ts = _col(ts)
     floor = floor_hour(ts)
     return F.when(ts == floor, floor).otherwise(floor + F.expr("interval 1 hour"))
+
+
+def next_daily(now: Column | str, hh_mm: str) -> Column:
+    """Next time of day ``hh_mm`` after ``now``; interval arithmetic carries it over the end of a month."""
+    now = _col(now)
+    hours, minutes = (int(x) for x in hh_mm.split(":", 1))
+    today = F.date_trunc("day", now).cast("timestamp_ntz") + F.expr(f"interval {hours} hours {minutes} minutes")
+    return F.when(today > now, today).otherwise(today + F.expr("interval 1 day"))

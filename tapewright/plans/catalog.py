@@ -489,7 +489,7 @@ def arm_flips(spark, d):
 
 
 @query
-def live_pipeline(spark, d):
+def live_forwarding(spark, d):
     """The pipeline of ``forwarded_log`` as a stream. Here a completed order is forgotten at once."""
     path = run_dir(spark, "live")
     tables.live_log(spark, d).write.parquet(f"{path}/log")

@@ -299,7 +299,7 @@ FROM progress p LEFT JOIN registry r ON p.strategy_id = 'Cls-' || r.strategy_id
 WHERE p.type = 'OrderCanceled' OR (p.type = 'OrderFilled' AND p.is_complete)
 UNION ALL
 SELECT lpad(CAST(seq AS VARCHAR), 20, '0'), topic, event_type, strategy_id, NULL, handle, channel FROM routed""",
-    "live_pipeline": f"""WITH {FORGETTING}, {OPS_ANNOUNCES}, {ROUTED_OPS.format(source="gated")}
+    "live_forwarding": f"""WITH {FORGETTING}, {OPS_ANNOUNCES}, {ROUTED_OPS.format(source="gated")}
 SELECT {SEQ_TEXT} AS seq, 'events.order.V1' AS topic, p.type AS event_type, p.strategy_id, p.client_order_id,
   coalesce(r.strategy_id, p.strategy_id) AS handle, CASE WHEN r.mode = 'live' THEN 'live' ELSE 'sandbox' END AS channel,
   p.qty_total, CAST(p.filled AS DOUBLE) AS qty_filled, p.fill_count,

@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without that setting (unit tests on one machine) gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    own = tempfile.mkdtemp(prefix="tapewright-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = folder or tempfile.mkdtemp(prefix="tapewright-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:

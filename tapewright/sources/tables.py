@@ -263,7 +263,7 @@ def position_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the number inside their ``props``."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return table(spark, sf_dir, "events").withColumn("k", k)
 
 

@@ -13,6 +13,16 @@ TABLES = (
 ).split()
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -41,6 +51,10 @@ def compare(df, con, sql: str) -> tuple[int, str]:
     got = bag(df.columns, [tuple(r) for r in df.collect()])
     if sorted(df.columns) != sorted(want_names):
         return sum(got.values()), f"columns {sorted(df.columns)} != {sorted(want_names)}"
+    types = {c[0]: str(c[1]) for c in cur.description}
+    odd = {n: (t, types[n]) for n, t in df.dtypes if TYPES.get(t) != types[n]}
+    if odd:
+        return sum(got.values()), f"types {odd}"
     if got != want:
         extra, lack = got - want, want - got
         return sum(got.values()), f"{sum(extra.values())} extra {list(extra)[:3]}; {sum(lack.values())} missing {list(lack)[:3]}"

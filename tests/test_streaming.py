@@ -7,6 +7,7 @@ from tapewright.schema import EVENT_LOG
 from tapewright.sources import log as logs
 from tapewright.streaming.live import start_live
 from tapewright.streaming.replies import match_replies_stream
+from tapewright.streaming.snapshots import start_snapshots
 
 T0 = datetime(2024, 1, 1)
 
@@ -87,3 +88,18 @@ def test_replies_stream(spark, tmp_path):
     step()
     got = {r.seq: r.reply_seq for r in spark.read.parquet(f"{path}/out").where(F.col("seq") < 9).collect()}
     assert got == {1: 11, 2: 11, 3: None, 4: None}
+
+
+def test_snapshots(spark, tmp_path):
+    path, schema = str(tmp_path), "position_id string, seq long, ts timestamp, type string"
+
+    def tick(rows):
+        spark.createDataFrame([(p, i, T0, t) for p, i, t in rows], schema).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        query = start_snapshots(spark.readStream.schema(schema).parquet(f"{path}/log"), f"{path}/out", available_now=True)
+        assert query.awaitTermination(120)
+
+    tick([("A", 1, "PositionOpened"), ("B", 2, "PositionOpened")])
+    tick([("A", 3, "PositionClosed"), ("C", 4, "PositionOpened")])
+    got = spark.read.parquet(f"{path}/out/snapshots").collect()
+    assert {(r.tick, r.position_id) for r in got} == {(0, "A"), (0, "B"), (1, "B"), (1, "C")}
+    assert start_snapshots(None, path, enabled=False) is None
