@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tapewright.functions import values, vocab
@@ -12,6 +13,8 @@ from tapewright.operators.orders import log_block
 from tapewright.operators.skew import HOT_ROWS, Track, running
 
 INSTRUMENT = ["instrument_id"]
+# Up to this many bars sorting a frame per bar costs less than handing the series to Python.
+SHORT_FRAME = 128
 
 
 def spread_signals(
@@ -95,14 +98,26 @@ def threshold_grid(
 ) -> DataFrame:
     """Change over ``delta_bars`` bars, its rolling percentile, and whether the change reaches it.
 
-    The threshold is unknown until ``threshold_bars`` changes are there. An instrument has at most one bar per
-    hour, so a partition of the window stays small however dense the readings are.
+    The threshold is unknown until ``threshold_bars`` changes are there. A window percentile sorts its whole frame
+    again for every bar; for long frames the rolling quantile of pandas, which keeps it sorted, takes over with the
+    same result. An instrument has at most one bar per hour, so its bars fit a task however dense the readings are.
     """
     w = W.partitionBy(*INSTRUMENT).orderBy("hour")
-    recent = w.rowsBetween(-(threshold_bars - 1), W.currentRow)
-    df = bars.withColumn("oi_delta", F.col("value") - F.lag("value", delta_bars).over(w))
-    enough = F.count("oi_delta").over(recent) >= threshold_bars
-    df = df.withColumn("threshold", F.when(enough, F.percentile("oi_delta", F.lit(percentile)).over(recent)))
+    deltas = bars.withColumn("oi_delta", F.col("value") - F.lag("value", delta_bars).over(w))
+
+    if threshold_bars <= SHORT_FRAME:
+        recent = w.rowsBetween(-(threshold_bars - 1), W.currentRow)
+        enough = F.count("oi_delta").over(recent) >= threshold_bars
+        threshold = F.when(enough, F.percentile("oi_delta", F.lit(percentile)).over(recent))
+        return deltas.withColumn("threshold", threshold).withColumn("armed", armed("oi_delta", "threshold"))
+
+    def with_threshold(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("hour")
+        rolling = series["oi_delta"].astype("float64").rolling(threshold_bars, min_periods=threshold_bars)
+        return series.assign(threshold=rolling.quantile(percentile))
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in deltas.schema.fields)
+    df = deltas.groupBy(*INSTRUMENT).applyInPandas(with_threshold, f"{columns}, threshold double")
     return df.withColumn("armed", armed("oi_delta", "threshold"))
 
 
