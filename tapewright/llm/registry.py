@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tapewright.llm import sharding
+from tapewright.llm import bpe, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 
