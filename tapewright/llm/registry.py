@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, sharding
+from tapewright.llm import bpe, sharding, topk
 
 QUERIES = {
+    "op5_uniform_threshold": topk.op5_uniform_threshold,
     "op1_bpe": bpe.op1_bpe,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_uniform_threshold": topk.SQL,
+}
