@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, sharding, topk
+from tapewright.llm import bpe, licences, sharding, topk
 
 QUERIES = {
     "op5_uniform_threshold": topk.op5_uniform_threshold,
     "op1_bpe": bpe.op1_bpe,
+    "op7_licences": licences.op7_licences,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 
