@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, licences, sharding, topk
+from tapewright.llm import bpe, licences, sharding, suffixes, topk
 
 QUERIES = {
+    "op2_suffix_repeats": suffixes.op2_suffix_repeats,
     "op5_uniform_threshold": topk.op5_uniform_threshold,
     "op1_bpe": bpe.op1_bpe,
     "op7_licences": licences.op7_licences,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_repeats": suffixes.op2_suffix_repeats,
     "op5_uniform_threshold": topk.SQL,
 }
