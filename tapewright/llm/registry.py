@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, licences, sharding, suffixes, topk
+from tapewright.llm import bpe, licences, neardup, sharding, suffixes, topk
 
 QUERIES = {
     "op2_suffix_repeats": suffixes.op2_suffix_repeats,
     "op5_uniform_threshold": topk.op5_uniform_threshold,
     "op1_bpe": bpe.op1_bpe,
+    "op6_super_minhash": neardup.op6_super_minhash,
     "op7_licences": licences.op7_licences,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
