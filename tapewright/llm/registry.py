@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, licences, neardup, sharding, suffixes, topk
+from tapewright.llm import bpe, decontamination, licences, neardup, sharding, suffixes, topk
 
 QUERIES = {
     "op2_suffix_repeats": suffixes.op2_suffix_repeats,
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op6_super_minhash": neardup.op6_super_minhash,
     "op7_licences": licences.op7_licences,
+    "op9_templates": decontamination.op9_templates,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 
