@@ -302,11 +302,21 @@ def _ask_segments(batches: Iterator[pa.RecordBatch], n: int, length: int, seed:
         for bucket, at in blocks.by_bucket(key[keep], n):
             at = keep[at]
             letters = text[spread(where[at], count[at] + length - 1)]
-            body = pack(key[at], doc[row[at]], row[at].astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint32), letters)
+            at_row, at_doc = row[at], doc[row[at]]
+            body = pack(
+                np.diff(at_row, prepend=0).astype(np.int32),
+                np.diff(at_doc - at_row, prepend=0),
+                start[at].astype(np.uint32),
+                count[at].astype(np.uint32),
+                letters,
+            )
             out.add(chunk, bucket, ASKS, squeeze.compress(body))
 
     rows = 0
     for batch in sized(batches, "text", PIECE):
+        batch = batch.filter(batch.column("marks").is_valid())
+        if not batch.num_rows:
+            continue
         buf, ends = flat(batch.column("text"))
         start, count, key, owner = segments(buf, ends, length, seed)
         offset = np.searchsorted(owner, np.arange(batch.num_rows))
@@ -343,17 +353,20 @@ def _ask_segments(batches: Iterator[pa.RecordBatch], n: int, length: int, seed:
     yield from out.take()
 
 
-def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int) -> None:
-    got = [[] for _ in range(6)]
+def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int, seed: int) -> None:
+    got = [[] for _ in range(5)]
     expand = zstandard.ZstdDecompressor()
     for _, body in asks:
-        for held, part in zip(got, unpack(expand.decompress(body), np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8), strict=True):
+        row, doc, *rest = unpack(expand.decompress(body), np.int32, np.int64, np.uint32, np.uint32, np.uint8)
+        row = np.cumsum(row, dtype=np.int64)
+        for held, part in zip(got, (row, np.cumsum(doc) + row, *rest), strict=True):
             held.append(part)
     ask = np.repeat(np.arange(len(asks)), [len(k) for k in got[0]])
-    key, doc, row, start, count, text = (np.concatenate(x) for x in got)
+    row, doc, start, count, text = (np.concatenate(x) for x in got)
     size = count.astype(np.int64) + length - 1
     where = np.cumsum(size) - size
     content = _content(text, where, size)
+    key = _keys(text, length, seed)[where]
     order = np.lexsort((doc, content, key))
     new_key = np.ones(len(order), bool)
     new_key[1:] = key[order][1:] != key[order][:-1]
@@ -367,7 +380,7 @@ def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int) ->
     of_key = np.cumsum(new_key)[head]
     lonely = np.bincount(of_key)[of_key] == 1
     chosen = order[head]
-    spans = [(ask[later], row[later].astype(np.int64), start[later].astype(np.int64), size[later])]
+    spans = [(ask[later], row[later], start[later].astype(np.int64), size[later])]
     busy = np.flatnonzero(~lonely)
     if len(busy):
         unit = chosen[busy]
@@ -388,7 +401,7 @@ def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int) ->
         hi = np.searchsorted(group[at_home], owner, side="right")
         home = at_home[spread(lo, hi - lo)]
         times = hi - lo
-        spans.append((ask[home], row[home].astype(np.int64), start[home] + np.repeat(low, times), np.repeat(long, times)))
+        spans.append((ask[home], row[home], start[home] + np.repeat(low, times), np.repeat(long, times)))
     who, row, start, size = (np.concatenate([s[k] for s in spans]) for k in range(4))
     order = np.argsort(who, kind="stable")
     who = who[order]
@@ -428,9 +441,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, freq
     keys = asked.mapInArrow(lambda b: _ask_keys(b, n, length, seed), blocks.MOVED)
     marks = blocks.gathered(blocks.answered(keys, parts, lambda asks, out: _answer_keys(asks, out, frequent)), parts, _merge_keys, MARKED)
     marks = marks.dropDuplicates(["doc_id", "digest"])
-    busy = docs.join(marks.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "digest", "text", "marks")
+    # A left join as in ``without_repeats``, so that both read one exchange of the texts.
+    busy = docs.join(marks.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "digest", "text", "marks")
     asked = busy.mapInArrow(lambda b: _ask_segments(b, n, length, seed), blocks.MOVED)
-    answers = blocks.answered(asked, parts, lambda asks, out: _answer_segments(asks, out, length))
+    answers = blocks.answered(asked, parts, lambda asks, out: _answer_segments(asks, out, length, seed))
     return blocks.gathered(answers, parts, _merge_segments, SPANS).dropDuplicates(["doc_id", "digest"])
 
 
