@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, decontamination, licences, neardup, sharding, suffixes, topk
+from tapewright.llm import bpe, decontamination, licences, neardup, quality, sharding, suffixes, topk, toxicity
 
 QUERIES = {
     "op2_suffix_repeats": suffixes.op2_suffix_repeats,
+    "op4_co_training": quality.op4_co_training,
     "op5_uniform_threshold": topk.op5_uniform_threshold,
     "op1_bpe": bpe.op1_bpe,
     "op6_super_minhash": neardup.op6_super_minhash,
     "op7_licences": licences.op7_licences,
+    "op8_gated_network": toxicity.op8_gated_network,
     "op9_templates": decontamination.op9_templates,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
