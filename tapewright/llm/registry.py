@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, decontamination, licences, neardup, quality, sharding, suffixes, topk, toxicity
+from tapewright.llm import bpe, decontamination, html, licences, neardup, quality, sharding, suffixes, topk, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_suffix_repeats": suffixes.op2_suffix_repeats,
+    "op3_host_suffixes": html.op3_host_suffixes,
     "op4_co_training": quality.op4_co_training,
     "op5_uniform_threshold": topk.op5_uniform_threshold,
-    "op1_bpe": bpe.op1_bpe,
     "op6_super_minhash": neardup.op6_super_minhash,
     "op7_licences": licences.op7_licences,
     "op8_gated_network": toxicity.op8_gated_network,
@@ -17,6 +18,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_suffix_repeats": suffixes.op2_suffix_repeats,
     "op5_uniform_threshold": topk.SQL,
 }
