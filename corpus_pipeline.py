@@ -3,19 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapewright.llm import bpe, decontamination, neardup, quality, suffixes
+from tapewright.llm.common import table
 from tapewright.session import run_dir
 
-STAGES: list = []
+REJECT = 0.3  # documents that are less likely good than this go
+SIMILAR = 80  # percent of common shingles from which documents are near-duplicates
 
-#: Classifiers, hashes of sketches and the tokenizer cannot be put in SQL: tests compare with plain versions.
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what the co-trained classifiers call bad; without labels of both classes nothing goes."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter(F.col("score") >= REJECT).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group. Rows without an id stay, as do rows that repeat an id."""
+    groups = neardup.near_duplicates(docs, SIMILAR)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of long passages out of the texts, at whole characters; no document goes."""
+    kept = suffixes.without_repeats(docs, whole_chars=True).withColumn("text", F.decode("kept", "UTF-8"))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark question, or one with other numbers or names, go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each text's token ids and of their text."""
+    return bpe.encoded_digests(docs, bpe.vocabulary_path())
+
+
+STAGES = [
+    ("good_quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("long_repeats", long_repeats),
+    ("benchmark_leaks", benchmark_leaks),
+    ("token_ids", token_ids),
+]
+
+#: Classifiers, sketches and the tokenizer cannot be put in SQL: tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole ``documents`` table."""
     folder = run_dir(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
