@@ -19,8 +19,8 @@ MOVED = "chunk long, bucket int, kind int, body binary"
 TABLE, ASKS, ANSWER = 0, 1, 2
 
 def buckets(parts: int) -> int:
-    """Several buckets for each partition, so that partitions come out even."""
-    return 8 * parts
+    """Two buckets for each partition: cells are as many as chunks times buckets."""
+    return 2 * parts
 
 
 def chunk_id(*arrays: np.ndarray) -> int:

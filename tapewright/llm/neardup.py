@@ -123,16 +123,22 @@ def super_minhash(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarr
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Name of each band of signatures of low bytes: the band's number and its bytes, hashed."""
     out = np.empty((len(signature), bands), np.uint64)
     for b in range(bands):
         h = np.full(len(signature), b + 1, np.uint64)
         for r in range(rows):
-            h = mixed(h * np.uint64(_ODD) + signature[:, b * rows + r])
+            h = mixed(h * np.uint64(_ODD) + signature[:, b * rows + r].astype(np.uint64))
         out[:, b] = h
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, same1 long, same2 long, bands array<long>"
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+#: Of each slot the low byte is kept: unequal slots agree in one of 256 cases.
+SKETCH = "doc_id long, n_shingles long, same1 long, same2 long, signature binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,21 +150,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 first.setdefault(names[i].tobytes(), i)
         chosen = sorted(first.values())
-        keys = band_keys(super_minhash([sets[i] for i in chosen])).view(np.int64)
-        counts = np.zeros(len(sets), np.int32)
-        counts[chosen] = BANDS
-        none = np.ones(len(sets), bool)
-        none[chosen] = False
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(none, False))
+        kept: list[bytes | None] = [None] * len(sets)
+        low = (super_minhash([sets[i] for i in chosen]) & np.uint64(255)).astype(np.uint8)
+        for i, row in zip(chosen, low, strict=True):
+            kept[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(names[:, 0]),
                 pa.array(names[:, 1]),
-                pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                pa.array(kept, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "same1", "same2", "bands"],
+            ["doc_id", "n_shingles", "same1", "same2", "signature"],
         )
 
 
@@ -189,7 +193,7 @@ def _ask_bands(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
 
     for batch in batches:
         ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
-        keys.append(batch.column("bands").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        keys.append(band_keys(signatures(batch.column("signature"))).ravel())
         held += batch.num_rows
         if held >= DOCS:
             close()
@@ -232,15 +236,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
+            if _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -260,6 +268,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).select("a", "b", "x", "y").mapInArrow(lambda b: _confirm(b, percent), "a long, b long")
 
 
+# Bands that still hold several components: every pair across components is judged where it first shares a band.
+
+ACROSS = 2000  # members of a band that one task holds, but for those outside its main component
+DEVIATIONS = 5.5  # by which a signature may lie below the similarity: less than one of 1e7 links lies lower
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = band_keys(signatures(batch.column("signature"))).view(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), BANDS)
+        doc = batch.select(["doc_id", "component"]).take(pa.array(row))
+        slot = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))
+        yield pa.RecordBatch.from_arrays([*doc.columns, slot, pa.array(keys.ravel())], ["doc_id", "component", "slot", "band"])
+
+
+def _across(frames: Iterator[pa.RecordBatch], percent: int, final: bool) -> Iterator[pa.RecordBatch]:
+    """For members of one band and salt after another: the documents that have a likely partner, or the links."""
+    share = percent / 100
+    slots = BANDS * ROWS
+    least = slots * (share - DEVIATIONS * (share * (1 - share) / slots) ** 0.5)
+    held: list[pa.RecordBatch] = []
+
+    def judged() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        doc, part, n = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        minor = rows.column("minor").to_numpy(zero_copy_only=False)
+        lead_salt = rows.column("salt")[0].as_py() == 0
+        slot = rows.column("slot")[0].as_py()
+        signature = signatures(rows.column("signature"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()] if final else []
+        a, b = [], []
+        for i in np.flatnonzero(minor):
+            fits = (part != part[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+            fits &= ~minor | (lead_salt & (doc > doc[i]))
+            at = np.flatnonzero(fits)
+            at = at[(signature[at] == signature[i]).sum(axis=1) >= least]
+            equal = (signature[at] == signature[i]).reshape(-1, BANDS, ROWS).all(axis=2)
+            at = at[equal.argmax(axis=1) == slot]
+            if final:
+                at = np.array([j for j in at if _similar(sets[i], sets[j], percent)], np.int64)
+            a.append(np.full(len(at), doc[i]))
+            b.append(doc[at])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        if final:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        else:
+            found = np.unique(np.concatenate([a, b]))
+            band, salt = (pa.array([rows.column(c)[0].as_py()] * len(found), rows.column(c).type) for c in ("band", "salt"))
+            yield pa.RecordBatch.from_arrays([band, salt, pa.array(found)], ["band", "salt", "doc_id"])
+
+    now = None
+    for batch in frames:
+        keys = np.stack([batch.column("band").to_numpy(), batch.column("salt").to_numpy().astype(np.int64)], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y == x:
+                continue
+            if now is not None and (keys[x] != now).any():
+                yield from judged()
+                held = []
+            now = keys[x]
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield from judged()
+
+
+def links_across(lead: DataFrame, found: DataFrame, busy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components that share a band.
+
+    A band's main component is spread over salts, the others go to each of them. First only signatures travel and name
+    the documents with a likely partner; then these documents' whole sets are compared where they meet. Neither step
+    makes rows of pairs.
+    """
+    parts = partitions(lead.sparkSession)
+    label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
+    members = lead.join(busy, "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = members.select("doc_id", label, "signature").mapInArrow(_bands, "doc_id long, component long, slot int, band long")
+    counts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    bands = counts.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")
+    )
+    bands = bands.filter("components > 1").select("band", "main", F.ceil(F.col("n") / ACROSS).cast("int").alias("salts"))
+    minor = F.col("component") != F.col("main")
+    salts = F.when(minor, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
+    open_ = saved(rows.join(bands, "band").select("band", "slot", F.explode(salts).alias("salt"), "doc_id", "component", minor.alias("minor")))
+
+    def judged(rows: DataFrame, schema: str, final: bool) -> DataFrame:
+        dealt = rows.repartition(parts, "band", "salt").sortWithinPartitions("band", "salt")
+        return dealt.mapInArrow(lambda b: _across(b, percent, final), schema)
+
+    signed = open_.join(lead.select("doc_id", "n_shingles", "signature"), "doc_id")
+    likely = judged(signed, "band long, salt int, doc_id long", False).distinct()
+    whole = signed.join(likely, ["band", "salt", "doc_id"]).join(sets, "doc_id")
+    return judged(whole, "a long, b long", True).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -269,7 +373,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets are put together first and go on as their smallest document. Each document is then compared with the
     smallest document of each of its bands: that joins a group of copies of any size with as many comparisons as it
-    has members. What remains are bands that still hold several components; only pairs between these are compared.
+    has members. What remains are bands that still hold several components; only documents of these are compared, in
+    place, first by signature and then by whole sets.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -278,10 +383,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketch = saved(slim.mapInArrow(_sketch, SKETCH))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
     same = ["same1", "same2"]
-    lead = known.groupBy(*same).agg(F.min("doc_id").alias("lead"), F.first("bands", ignorenulls=True).alias("bands"))
-    lead = saved(lead.select(*same, F.col("lead").alias("doc_id"), "bands"))
+    lead = known.groupBy(*same).agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n_shingles"), F.first("signature", ignorenulls=True).alias("signature"))
+    lead = saved(lead.select(*same, F.col("lead").alias("doc_id"), "n_shingles", "signature"))
 
-    asked = lead.select("doc_id", "bands").mapInArrow(lambda b: _ask_bands(b, n), blocks.MOVED)
+    asked = lead.select("doc_id", "signature").mapInArrow(lambda b: _ask_bands(b, n), blocks.MOVED)
     stars = blocks.gathered(blocks.answered(asked, parts, _answer_bands), parts, _merge_bands, "a long, b long")
     stars = saved(stars.distinct())
     busy = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
@@ -289,22 +394,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     links = saved(confirmed(stars.filter("a <> b"), sets, percent))
     found = saved(components(links))
-    # Bands with more than one component: their pairs across components, but for those with the band's smallest.
-    label = F.coalesce(F.col("component"), F.col("doc_id"))
-    members = lead.join(busy, "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = members.select("doc_id", label.alias("component"), F.explode("bands").alias("band"))
-    mixed_bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_ = members.join(mixed_bands, "band").join(sets.select("doc_id", F.octet_length("shingles").alias("n")), "doc_id")
-    left, right = open_.toDF(*[f"{c}_a" for c in open_.columns]), open_.toDF(*[f"{c}_b" for c in open_.columns])
-    across = left.join(
-        right,
-        (F.col("band_a") == F.col("band_b"))
-        & (F.col("component_a") > F.col("component_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent),
-    )
-    across = across.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
-    across = saved(across.join(stars, ["a", "b"], "left_anti"))
-    more = saved(confirmed(across, sets, percent))
+    more = saved(links_across(lead, found, busy, sets, percent))
     chain = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(chain).withColumnRenamed("node", "doc_id")
 
