@@ -16,6 +16,8 @@ MONEY_PATTERN = r"^([+-]?[0-9_]*\.?[0-9]+) ([A-Z][A-Z0-9]*)$"
 QUANTITY = "decimal(26,8)"
 NOTIONAL = "decimal(26,8)"
 MONEY = "decimal(38,18)"
+# What rounding to eight decimals may take from a product for it to be kept in them.
+FIXED_ERROR = 1e-9
 
 
 def _col(c: Column | str) -> Column:
@@ -46,8 +48,18 @@ def safe_quantity(text: Column | str) -> Column:
 
 
 def notional(quantity: Column, price: Column) -> Column:
-    """Quantity times price, rounded once to a fixed scale so that sums do not depend on their order."""
-    return (quantity.cast("double") * price.cast("double")).try_cast(NOTIONAL)
+    """Quantity times price, rounded once to a fixed scale so that sums do not depend on their order.
+
+    NULL where the product has no place in that scale or loses digits in it; ``rest_notional`` has it then.
+    """
+    product = quantity.cast("double") * price.cast("double")
+    fixed = product.try_cast(NOTIONAL)
+    return F.when(F.abs(fixed.cast("double") - product) <= F.abs(product) * FIXED_ERROR, fixed)
+
+
+def rest_notional(quantity: Column, price: Column) -> Column:
+    """The products that ``notional`` cannot hold to nine digits, as DOUBLE: very large or very small ones."""
+    return F.when(notional(quantity, price).isNull(), quantity.cast("double") * price.cast("double"))
 
 
 def money_amount(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tapewright.functions import vocab
 from tapewright.operators import ingest
 from tapewright.operators.asof import asof_join
-from tapewright.operators.skew import HOT_ROWS, lookup_join
+from tapewright.operators.skew import HOT_ROWS
 
 
 def command_topic(strategy_id: Column | str, action: Column | str) -> Column:
@@ -48,7 +48,7 @@ def authorize(commands: DataFrame, registry: DataFrame) -> DataFrame:
 
     A strategy nobody knows, and any mode but live, counts as sandbox. Nothing may be sent from logging.
     """
-    joined = lookup_join(commands, registry.select("strategy_id", "mode"), ["strategy_id"])
+    joined = commands.join(registry.select("strategy_id", "mode"), "strategy_id", "left")
     effective = F.when(F.col("mode") == vocab.LIVE, vocab.LIVE).otherwise(vocab.SANDBOX)
     read_only = F.col("channel") == vocab.LOGGING
     crossed = F.coalesce(F.col("channel") != effective, F.lit(True))

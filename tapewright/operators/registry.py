@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapewright.functions import vocab
 from tapewright.functions.values import truthy
-from tapewright.operators.skew import lookup_join, top_per_key
+from tapewright.operators.skew import top_per_key
 
 
 def latest_registry(announces: DataFrame) -> DataFrame:
@@ -42,12 +42,14 @@ def resolve_handles(ids: DataFrame, registry: DataFrame) -> DataFrame:
     )
     candidates = distinct.select("strategy_id", F.explode(suffixes).alias("handle"))
     known = registry.select(F.col("strategy_id").alias("handle"), "mode", F.lit(True).alias("_known"))
-    matched = candidates.join(known, "handle", "left")
+    # Only candidates that are a handle go on: a suffix that many ids share is looked up, not gathered.
+    matched = candidates.join(known, "handle")
     rank = F.when(F.col("_known"), F.length("handle"))
-    best = matched.groupBy("strategy_id").agg(
+    found = matched.groupBy("strategy_id").agg(
         F.max_by("handle", rank).alias("handle"),
         F.max_by("mode", rank).alias("mode"),
     )
+    best = distinct.join(found, "strategy_id", "left")
     return best.withColumn("handle", F.coalesce("handle", "strategy_id"))
 
 
@@ -58,9 +60,11 @@ def channel_targets(registry: DataFrame, channel: str | None) -> DataFrame:
     return registry.select("strategy_id")
 
 
-def fanout_targets(announces: DataFrame, limit: int = vocab.ANNOUNCE_LIMIT) -> DataFrame:
-    """Distinct strategies among the newest announces, newest first."""
-    newest = top_per_key(announces.select("seq", "strategy_id"), [], [F.desc("seq")], limit)
+def fanout_targets(announces: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct strategies of all announces, or of the ``limit`` newest, newest first."""
+    newest = announces.select("seq", "strategy_id")
+    if limit is not None:
+        newest = top_per_key(newest, [], [F.desc("seq")], limit)
     seen = newest.where(F.col("strategy_id").isNotNull()).groupBy("strategy_id").agg(F.max("seq").alias("last_seq"))
     return seen.orderBy(F.desc("last_seq"))
 
@@ -90,9 +94,9 @@ def route(events: DataFrame, registry: DataFrame, ids: DataFrame | None = None)
     Operations topics and events without a strategy go to logging, strategies whose mode is live to live,
     everything else to sandbox. ``ids`` may name a cheaper source of the strategy ids than ``events`` itself.
     """
-    # Ids are looked up once each; the rows of a busy strategy never meet in one task.
+    # Ids are looked up once each; AQE broadcasts them by their bytes, or splits a busy strategy's rows.
     resolved = resolve_handles(events if ids is None else ids, registry)
-    joined = lookup_join(events, resolved, ["strategy_id"])
+    joined = events.join(resolved, "strategy_id", "left")
     unscoped = F.col("topic").startswith(vocab.OPERATIONS_TOPIC_PREFIX) | truthy("strategy_id").isNull()
     channel = F.when(unscoped, vocab.LOGGING).when(F.col("mode") == vocab.LIVE, vocab.LIVE).otherwise(vocab.SANDBOX)
     return joined.withColumn("channel", channel).drop("mode")

@@ -84,10 +84,13 @@ PNL_KINDS = ["realized", "unrealized", "net_exposure"]
 def account_pnl(positions: DataFrame) -> DataFrame:
     """Realized and unrealized PnL and net exposure per venue and currency.
 
-    Realized PnL counts every event; the other two count the latest state of each position.
+    A position's realized PnL is a running total that starts anew once it is closed: it counts as of each closing and,
+    for positions still open, as of their latest state. The other two count the latest state of open positions.
     """
-    realized = positions.groupBy("venue", "currency").agg(F.sum("realized_pnl").alias("amount"))
     latest = latest_positions(positions).where(F.col("type") != "PositionClosed")
+    closed = positions.where(F.col("type") == "PositionClosed")
+    totals = closed.select("venue", "currency", "realized_pnl").unionByName(latest.select("venue", "currency", "realized_pnl"))
+    realized = totals.groupBy("venue", "currency").agg(F.sum("realized_pnl").alias("amount"))
     current = latest.groupBy("venue", "currency").agg(
         F.sum("unrealized_pnl").alias("unrealized"), F.sum("exposure").alias("net_exposure")
     )

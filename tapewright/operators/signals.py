@@ -13,8 +13,8 @@ from tapewright.operators.orders import log_block
 from tapewright.operators.skew import HOT_ROWS, Track, running
 
 INSTRUMENT = ["instrument_id"]
-# Up to this many bars sorting a frame per bar costs less than handing the series to Python.
-SHORT_FRAME = 128
+# Bars of an instrument that one task holds at once, besides the frame before them.
+BLOCK_BARS = 8192
 
 
 def spread_signals(
@@ -98,26 +98,27 @@ def threshold_grid(
 ) -> DataFrame:
     """Change over ``delta_bars`` bars, its rolling percentile, and whether the change reaches it.
 
-    The threshold is unknown until ``threshold_bars`` changes are there. A window percentile sorts its whole frame
-    again for every bar; for long frames the rolling quantile of pandas, which keeps it sorted, takes over with the
-    same result. An instrument has at most one bar per hour, so its bars fit a task however dense the readings are.
+    The threshold is unknown until the last ``threshold_bars`` changes are all there; NaN counts as missing. An
+    instrument's bars are cut into blocks, each with the frame before it, and the rolling quantile of pandas, which
+    keeps a frame sorted, runs over each.
     """
     w = W.partitionBy(*INSTRUMENT).orderBy("hour")
     deltas = bars.withColumn("oi_delta", F.col("value") - F.lag("value", delta_bars).over(w))
-
-    if threshold_bars <= SHORT_FRAME:
-        recent = w.rowsBetween(-(threshold_bars - 1), W.currentRow)
-        enough = F.count("oi_delta").over(recent) >= threshold_bars
-        threshold = F.when(enough, F.percentile("oi_delta", F.lit(percentile)).over(recent))
-        return deltas.withColumn("threshold", threshold).withColumn("armed", armed("oi_delta", "threshold"))
-
-    def with_threshold(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("hour")
+    size = max(BLOCK_BARS, threshold_bars)
+    number = F.row_number().over(w) - 1
+    block = F.floor(F.col("_n") / size)
+    tail = F.col("_n") % size > size - threshold_bars
+    blocks = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
+    dealt = deltas.withColumn("_n", number).select("*", F.explode(blocks).alias("_block"))
+
+    def with_threshold(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("_n")
         rolling = series["oi_delta"].astype("float64").rolling(threshold_bars, min_periods=threshold_bars)
-        return series.assign(threshold=rolling.quantile(percentile))
+        series = series.assign(threshold=rolling.quantile(percentile))
+        return series[series["_n"] // size == key[-1]].drop(columns=["_n", "_block"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in deltas.schema.fields)
-    df = deltas.groupBy(*INSTRUMENT).applyInPandas(with_threshold, f"{columns}, threshold double")
+    df = dealt.groupBy(*INSTRUMENT, "_block").applyInPandas(with_threshold, f"{columns}, threshold double")
     return df.withColumn("armed", armed("oi_delta", "threshold"))
 
 

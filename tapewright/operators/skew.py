@@ -1,8 +1,7 @@
-"""Ordered scans, lookups and top-k that stay correct and balanced when one key holds most of the rows.
+"""Ordered scans and top-k that stay correct and balanced when one key holds most of the rows.
 
 * :func:`running` - running sums and first/last values along an order. A key with many rows is cut into blocks
   along that order; each block is scanned on its own and receives the totals of the blocks before it.
-* :func:`lookup_join` - join to a small side: broadcast after its size was checked, salted otherwise.
 * :func:`top_per_key` - first n rows per key in two steps, so that no task sees more than its share.
 """
 
@@ -10,17 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tapewright.session import shared_dir
-
+# Of a key with more rows than this no task holds more than a block. There are at most as many such keys as the table
+# has millions of rows, so their list is small beside any executor's share of it.
 HOT_ROWS = 1_000_000
-# The list of hot keys is broadcast, so its length is bounded. A key that did not make the list holds
-# at most one ten-thousandth of the rows.
-HOT_KEYS = 10_000
-LOOKUP_ROWS = 500_000
-SALTS = 32
 
 _BLOCK, _HOT, _SALT = "_block", "_hot", "_salt"
 
@@ -70,16 +65,16 @@ class Track:
 
 
 def mark_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_block``: the block of a row whose key is hot, NULL for all other rows."""
+    """Add ``_block``: the block of a row whose key is hot, NULL for all other rows. A NULL key may be hot like any."""
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias(_HOT))
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias(_HOT))
     )
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(_BLOCK, F.when(F.col(_HOT), block)).drop(_HOT)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    marked = df.join(F.broadcast(hot), same, "left").withColumn(_BLOCK, F.when(F.col(_HOT), block))
+    return marked.drop(_HOT, *[f"_key_{k}" for k in keys])
 
 
 def running(
@@ -116,7 +111,9 @@ def running(
     outer = W.partitionBy(*keys).orderBy(*along([_BLOCK])).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, _BLOCK, *[t.carry(n, outer).alias(f"_carry_{n}") for n, t in tracks.items()])
 
-    joined = local.join(carried, [*keys, _BLOCK], "left")
+    names = [*keys, _BLOCK]
+    carried = carried.withColumnsRenamed({k: f"_key_{k}" for k in names})
+    joined = local.join(carried, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in names]), "left")
 
     def merged(name: str, track: Track) -> Column:
         # A sum of sums has a wider decimal type than a sum; adding both would cost decimals.
@@ -133,33 +130,17 @@ def _facing(track: Track, reverse: bool) -> Track:
     return Track("first" if track.kind == "last" else "last", track.value)
 
 
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    max_rows: int = LOOKUP_ROWS,
-    salts: int = SALTS,
+def top_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *, rank: str | None = None, salts: int | None = None
 ) -> DataFrame:
-    """Join ``big`` to one row per key of ``small`` without gathering a hot key of ``big`` in one task.
+    """First ``n`` rows per key (of everything when ``keys`` is empty), with their rank if asked for.
 
-    ``small`` is computed once, into the checkpoint folder, and counted there. Up to ``max_rows`` it is
-    broadcast and ``big`` is not shuffled. Beyond that the rows of ``big`` are spread over ``salts`` copies.
+    Each key is ranked in as many slices as the session has shuffle partitions (or ``salts``), then once more.
     """
-    shared_dir(big.sparkSession)
-    small = small.checkpoint()
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
-    salted = big.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
-    copies = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, _SALT], how).drop(_SALT)
-
-
-def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *, rank: str | None = None, salts: int = SALTS
-) -> DataFrame:
-    """First ``n`` rows per key (of everything when ``keys`` is empty), with their rank if asked for."""
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys:
+        few = df.orderBy(*order).limit(n)
+        return few.withColumn(rank, F.row_number().over(W.orderBy(*order))) if rank else few
     by_salt = W.partitionBy(*keys, _SALT).orderBy(*order)
     few = (
         df.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
@@ -167,9 +148,6 @@ def top_per_key(
         .where(F.col("_rank") <= n)
         .drop(_SALT, "_rank")
     )
-    if not keys:
-        few = few.withColumn("_all", F.lit(0))
-    final = W.partitionBy(*(keys or ["_all"])).orderBy(*order)
+    final = W.partitionBy(*keys).orderBy(*order)
     top = few.withColumn("_rank", F.row_number().over(final)).where(F.col("_rank") <= n)
-    top = top.withColumnRenamed("_rank", rank) if rank else top.drop("_rank")
-    return top.drop("_all")
+    return top.withColumnRenamed("_rank", rank) if rank else top.drop("_rank")

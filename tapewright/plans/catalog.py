@@ -298,7 +298,7 @@ def open_regular_orders(spark, d):
 
 @query
 def event_labels(spark, d):
-    return longs(labels.with_labels(tables.labelled(spark, d)), "color")
+    return labels.with_labels(tables.labelled(spark, d))
 
 
 # --- registry and routing ------------------------------------------------------------------------
@@ -416,7 +416,7 @@ def balance_snapshot_parse(spark, d):
 def top_balances(spark, d):
     shown = labels.shown_balances(tables.account_events(spark, d), n=2)
     currencies = F.array_join(F.transform("balances", lambda b: b["currency"]), ",")
-    return shown.select("trader_id", "venue", "seq", currencies.alias("currencies"))
+    return shown.select("trader_id", "venue", "seq", currencies.alias("currencies"), "more")
 
 
 @query

@@ -272,8 +272,8 @@ UNION ALL SELECT DISTINCT 'ops:control:' || strategy_id FROM announces WHERE str
 SELECT seq, CASE WHEN m = 3 THEN 'strategy_id,type' ELSE 'state,strategy_id,type' END AS field_names FROM ops WHERE m >= 3""",
     "custom_messages": """
 SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND turn % 2 = 0 THEN role ELSE 'Notice' END AS title,
-  substring(CASE WHEN turn % 4 = 3 THEN 'note: ' || text ELSE text END, 1, 4000) AS text,
-  CAST(CASE WHEN turn % 4 <> 3 AND turn % 3 = 0 THEN 255 ELSE 5793266 END AS BIGINT) AS color
+  CASE WHEN turn % 4 = 3 THEN 'note: ' || text ELSE text END AS text,
+  CAST(CASE WHEN turn % 4 <> 3 AND turn % 3 = 0 THEN 255 END AS BIGINT) AS color
 FROM conversations""",
     "safe_number": f"""WITH {CLICKS}
 SELECT event_id, CASE k % 12 WHEN 0 THEN k || '_000' WHEN 1 THEN k || '__000' WHEN 2 THEN '  ' || k || ' '
@@ -336,16 +336,13 @@ seen AS (
     {_nth(("BUY", "SELL", "LONG", "SHORT", "FLAT", "ODD"), "k")} AS side, {_nth(_STATES, "k")} AS state
   FROM clicks)
 SELECT *,
-  '[' || CASE type WHEN 'OrderFilled' THEN 'Order filled' WHEN 'OrderCanceled' THEN 'Order canceled'
-    WHEN 'PositionOpened' THEN 'Position opened' WHEN 'PositionClosed' THEN 'Position closed' ELSE type END || ']' AS title,
-  CASE side WHEN 'BUY' THEN 'Buy' WHEN 'SELL' THEN 'Sell' WHEN 'LONG' THEN 'Long' WHEN 'SHORT' THEN 'Short'
-    WHEN 'FLAT' THEN 'Flat' ELSE side END AS side_label,
-  CAST(CASE type WHEN 'OrderFilled' THEN 3066993 WHEN 'OrderCanceled' THEN 15965202 WHEN 'OrderDenied' THEN 12597547
-    WHEN 'PositionOpened' THEN 1752220 WHEN 'PositionClosed' THEN 15158332 WHEN 'Signal' THEN 15277667
-    ELSE 10070709 END AS BIGINT) AS color,
-  CASE WHEN state IN ('PRE_INITIALIZED', 'READY') THEN 'white' WHEN state = 'STARTING' THEN 'yellow'
-    WHEN state = 'RUNNING' THEN 'green' WHEN state IN ('STOPPING', 'DEGRADED') THEN 'orange'
-    WHEN state IN ('STOPPED', 'FAULTED') THEN 'red' WHEN state = 'DISPOSED' THEN 'black' ELSE 'square' END AS state_marker
+  CASE type WHEN 'OrderFilled' THEN 'Order filled' WHEN 'OrderCanceled' THEN 'Order canceled' WHEN 'OrderDenied' THEN 'Order denied'
+    WHEN 'PositionOpened' THEN 'Position opened' WHEN 'PositionClosed' THEN 'Position closed' WHEN 'Signal' THEN 'Signal'
+    ELSE 'Order split' END AS title,
+  upper(side[1]) || lower(side[2:]) AS side_label,
+  CASE type WHEN 'OrderDenied' THEN 'error' WHEN 'OrderCanceled' THEN 'warning' ELSE 'info' END AS severity,
+  CASE WHEN state = 'FAULTED' THEN 'error' WHEN state IN ('STOPPED', 'DEGRADED', 'DISPOSED', 'STOPPING') THEN 'warning'
+    ELSE 'info' END AS state_severity
 FROM seen""",
     "registry_latest": f"WITH {ANNOUNCES} SELECT * FROM registry",
     "registry_fallback": f"""WITH {ANNOUNCES}
@@ -367,8 +364,7 @@ SELECT seq, topic, strategy_id, handle, channel FROM routed""",
 SELECT mode AS channel, strategy_id FROM registry WHERE mode IN ('live', 'sandbox')
 UNION ALL SELECT 'logging', strategy_id FROM registry""",
     "fanout_targets": f"""WITH {ANNOUNCES}
-SELECT strategy_id, max(seq) AS last_seq FROM (SELECT * FROM announces ORDER BY seq DESC LIMIT 1000)
-WHERE strategy_id IS NOT NULL GROUP BY 1""",
+SELECT strategy_id, max(seq) AS last_seq FROM announces WHERE strategy_id IS NOT NULL GROUP BY 1""",
     "protocol_drift": f"""WITH {ANNOUNCES}
 SELECT DISTINCT strategy_id, coalesce(protocol_version, '') AS seen_protocol, '1' AS expected_protocol,
   coalesce(engine_version, '') AS seen_version, '1.226.0' AS expected_version
@@ -422,7 +418,7 @@ UNION ALL
 SELECT 'T' || c_custkey, c_mktsegment, 'BTC', CAST(CAST(c_acctbal * 3 AS DECIMAL(18,2)) AS DOUBLE)
 FROM good WHERE c_custkey % 7 <> 0""",
     "top_balances": """SELECT 'T' || (c_custkey % 40) AS trader_id, c_mktsegment AS venue, c_custkey AS seq,
-  'USDT,BTC' AS currencies FROM customer""",
+  'USDT,BTC' AS currencies, CAST(1 AS BIGINT) AS more FROM customer""",
     "command_audit": f"""WITH {ANNOUNCES},
 sent AS (
   SELECT event_id AS seq, 'S' || user_id AS strategy_id, k,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,16 +27,23 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (unit tests on one machine) gets a folder of its own.
+    A session on one machine without that setting uses its warehouse folder; on a cluster there is no such guess.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = folder or tempfile.mkdtemp(prefix="tapewright-")
+    folder = folder or default_folder(context.master, spark.conf.get("spark.sql.warehouse.dir"))
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def default_folder(master: str, warehouse: str) -> str:
+    """Where a session without ``spark.checkpoint.dir`` writes; an error unless all its tasks run on one machine."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/_shared"
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one, so that runs never meet each other's files."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

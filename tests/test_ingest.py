@@ -50,7 +50,7 @@ def test_binary_payloads(spark):
     df = spark.createDataFrame([Row(topic="t", payload=bytearray(b)) for b in (b'{"a": 1}', raw, b"\xff" * 200)])
     got = ingest.decode(df).drop("body", "payload").collect()
     assert [r.decode_status for r in got] == ["json", "raw", "raw"]
-    assert got[1].body_raw == raw.hex()[:200] and got[2].body_raw == "ff" * 100
+    assert got[1].body_raw == raw.hex() and got[2].body_raw == "ff" * 200
 
 
 def test_fields_of_bodies(spark):
@@ -143,22 +143,32 @@ def test_retention(spark):
 
 
 def test_messages(spark):
-    topic, payload = labels.custom_message(F.lit("Risk"), F.lit("x" * 5000), F.lit(0xE74C3C))
+    topic, payload = labels.custom_message(F.lit("Risk"), F.lit("x" * 5000), F.lit(7))
     written = spark.range(1).select(F.col("id").alias("seq"), topic.alias("topic"), payload.alias("payload"))
     plain = spark.createDataFrame([(1, vocab.MESSAGE_TOPIC, "just text"), (2, vocab.MESSAGE_TOPIC, "{}"), (3, "other", "x")], "seq long, topic string, payload string")
     got = {r.seq: r for r in labels.read_messages(ingest.decode(written.unionByName(plain))).collect()}
-    assert (got[0].title, len(got[0].text), got[0].color) == ("Risk", 4000, 0xE74C3C)
-    assert (got[1].title, got[1].text, got[1].color) == ("Notice", "just text", vocab.DEFAULT_MESSAGE_COLOR)
+    assert (got[0].title, len(got[0].text), got[0].color) == ("Risk", 5000, 7)
+    assert (got[1].title, got[1].text, got[1].color) == ("Notice", "just text", None)
     assert (got[2].title, got[2].text) == ("Notice", "") and 3 not in got
 
 
-def test_unknown_names_have_default_labels(spark):
-    df = spark.createDataFrame([("OrderFilled", "BUY", "RUNNING"), ("New", "ODD", "NEW"), (None, None, None)], "type string, side string, state string")
-    got = labels.with_labels(df).collect()
-    assert [tuple(r)[3:] for r in got[:2]] == [
-        ("[Order filled]", "Buy", 0x2ECC71, "green"),
-        ("[New]", "ODD", vocab.DEFAULT_EVENT_COLOR, "square"),
+def test_labels(spark):
+    df = spark.createDataFrame([("OrderRejected", "BUY", "DEGRADED"), ("SwapSettled", "odd_lot", "RUNNING"), (None, None, None)], "type string, side string, state string")
+    assert [tuple(r)[3:] for r in labels.with_labels(df).collect()] == [
+        ("Order rejected", "Buy", "error", "warning"),
+        ("Swap settled", "Odd lot", "info", "info"),
+        (None, None, None, None),
     ]
+    names = spark.createDataFrame([("SwapSettled", "Paid up")], "name string, label string")
+    assert {r.type: r.title for r in labels.with_labels(df, names).collect()} == {"OrderRejected": "Order rejected", "SwapSettled": "Paid up", None: None}
+
+
+def test_objects_behind_white_space(spark):
+    rows = [("t", f'{space}{{"type":"A"}}') for space in ("", " ", "\n", "\t \r\n")] + [("t", '\n["type"]')]
+    got = sorted(ingest.object_fields(log_of(spark, rows), ["type"]).collect(), key=lambda r: r.seq)
+    assert [r.type for r in got] == ["A"] * 4 + [None]
+    decoded = ingest.decode(log_of(spark, rows)).select("seq", ingest.is_object().alias("o")).collect()
+    assert [r.o for r in sorted(decoded, key=lambda r: r.seq)] == [True] * 4 + [False]
 
 
 def test_exact_quantities(spark):

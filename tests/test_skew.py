@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators.asof import asof_join
-from tapewright.operators.skew import Track, lookup_join, running, top_per_key
+from tapewright.operators.skew import Track, mark_blocks, running, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -78,13 +78,12 @@ def test_asof_equals_search(spark, hot_rows, direction):
     assert {r.pid: r.v for r in got} == want
 
 
-@pytest.mark.parametrize("max_rows", [100, 2])
-def test_lookup_join_both_ways(spark, max_rows):
-    big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id").repartition(5)
-    small = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "k long, name string")
-    got = lookup_join(big, small, ["k"], max_rows=max_rows, salts=4).collect()
-    assert len(got) == 1000
-    assert all(r.name == (f"n{r.k}" if r.k < 5 else None) for r in got)
+def test_null_key_is_hot_like_any(spark):
+    df = spark.range(3000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("seq"))
+    got = running(df, ["k"], ["seq"], {"n": Track("count", F.lit(1))}, block=F.expr("seq div 100"), hot_rows=10)
+    assert got.where("n <> seq + 1").count() == 0 and got.count() == 3000
+    blocks = mark_blocks(df, ["k"], F.expr("seq div 100"), 10).groupBy("k", "_block").count()
+    assert blocks.agg(F.max("count")).first()[0] == 100
 
 
 def test_top_per_key(spark):
