@@ -212,8 +212,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Nulls in any column count as empty or zero, empty and very long texts are scored whole, repeated rows alike; an
     empty table gives an empty result. Row by row, no shuffle. Needs ``doc_id text lang source n_chars``; other columns
-    are kept, the name ``score`` is taken.
+    are kept, one named ``score`` is replaced.
     """
+    docs = docs.drop("score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,9 +80,10 @@ def hilbert_shards(
     of ``ties``, so equal texts stand together if a text checksum comes first; a null stands before any value and rows
     equal in all ties count as interchangeable. No cell is gathered: the order is cut by ranges of cell *and* ties,
     which splits a cell of any size, and written to the shared folder; a row's rank is its place in its range plus
-    the sizes of the ranges before. An empty table gives an empty result. ``rows`` keeps its columns; the names
-    ``shard``, ``slot`` and those that begin with ``_hc_`` are taken.
+    the sizes of the ranges before. An empty table gives an empty result. ``rows`` keeps its columns; ones named
+    ``shard`` or ``slot`` are replaced, and no name may begin with ``_hc_``.
     """
+    rows = rows.drop("shard", "slot")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     numeric = [d for d in dims if isinstance(kinds[d], T.NumericType)]
     share = [i / (1 << bits) for i in range(1, 1 << bits)]

@@ -454,10 +454,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_chars: bool = F
     Judged on the input, overlaps count, nothing crosses documents. With ``whole_chars`` a character that is covered
     in part stays, so that what is kept is UTF-8. A null text counts as empty. Rows with equal ids never remove each
     other, repeated rows get the same result each; a null id neither removes nor loses anything. Texts shorter than
-    ``length`` bytes stay; an empty table gives an empty result. Other columns are kept; the names ``digest``,
-    ``spans``, ``removed`` and ``kept`` are taken.
+    ``length`` bytes stay; an empty table gives an empty result. Other columns are kept, but for those
+    named ``digest``, ``spans``, ``removed`` or ``kept``, which are replaced.
     """
     seed = min(SEED, length)
+    docs = docs.drop("digest", "spans", "removed", "kept")
     names = docs.columns
     tagged = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("digest", digest())
     joined = tagged.join(repeated_spans(tagged, length, seed, frequent).hint("shuffle_hash"), ["doc_id", "digest"], "left").select(*names, "spans")
