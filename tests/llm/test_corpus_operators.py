@@ -426,3 +426,44 @@ def test_digests_are_lower_hex(spark):
     r = bpe.encoded_digests(frame, bpe.vocabulary_path()).first()
     ids = bpe.encode(frame, bpe.vocabulary_path()).first().ids
     assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+# --- pipeline
+
+
+def test_pipeline_stages_against_plain_versions(spark, docs, corpus, tmp_path, library):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = "how many of the seven red boats sail past the old tower"
+    leaky = [(300, f"quiz time {item} or so", "en", "s", 60), (301, f"quiz again {item.replace('red', 'dim')}", "en", "s", 60)]
+    slim = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(leaky, DOCS))
+    bad = [(500 + i, " ".join(w.upper() + "$$$" for w in words(rng, 60, ["ab", "cde", "fghi"]).split()), "en", "junk", 300) for i in range(60)]
+    good = [(600 + i, words(rng, 60, [f"w{k}" for k in range(500)]), "en", "s", 300) for i in range(60)]
+    slim = slim.union(spark.createDataFrame(bad + good, DOCS))
+    slim.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 0, 0) for i, *_ in bad[:40]] + [(i, 1, 0) for i, *_ in good[:40]] + [(i, 1, 0) for i, _ in corpus if i is not None and i < 75]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    frames, now = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path)).checkpoint()
+        frames.append(now)
+    kept, single, cut, clean, tokens = (f.collect() for f in frames)
+    assert all(f.columns == slim.columns for f in frames[:4])
+    ids = {r.doc_id for r in kept}
+    assert not ids & {i for i, *_ in bad} and ids >= {i for i, *_ in good}
+    _, top = plain_groups([(r.doc_id, r.text) for r in kept], corpus_pipeline.SIMILAR)
+    assert sorted(str(r.doc_id) for r in single) == sorted(str(r.doc_id) for r in kept if r.doc_id is None or top[r.doc_id] == r.doc_id)
+    want = []
+    for i, raw, gone in plain_repeats([(r.doc_id, r.text) for r in single]):
+        mask = np.frombuffer(gone, np.uint8).astype(bool)
+        heads = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        whole = np.add.reduceat(~mask, heads) == 0 if len(raw) else np.empty(0, bool)  # characters that go entirely
+        text = "".join(c for c, g in zip(raw.decode(), whole, strict=True) if not g)
+        want.append((str(i), text, len(text)))
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in cut) == sorted(want)
+    assert {r.doc_id for r in cut} - {r.doc_id for r in clean} == {300} & {r.doc_id for r in cut}
+    lengths = sorted((str(r.doc_id), len(library.encode(r.text, add_special_tokens=False).ids)) for r in clean)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokens) == lengths
