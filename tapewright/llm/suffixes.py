@@ -443,6 +443,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, freq
     marks = marks.dropDuplicates(["doc_id", "digest"])
     # A left join as in ``without_repeats``, so that both read one exchange of the texts.
     busy = docs.join(marks.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "digest", "text", "marks")
+    # In order, so that a task that runs again makes the same chunks: rows of a shuffle arrive in any order.
+    busy = busy.sortWithinPartitions("doc_id", "digest")
     asked = busy.mapInArrow(lambda b: _ask_segments(b, n, length, seed), blocks.MOVED)
     answers = blocks.answered(asked, parts, lambda asks, out: _answer_segments(asks, out, length, seed))
     return blocks.gathered(answers, parts, _merge_segments, SPANS).dropDuplicates(["doc_id", "digest"])
