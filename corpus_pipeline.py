@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, decontamination, neardup, quality, suffixes
-from tapewright.llm.common import table
+from tapewright.llm.common import table, without
 from tapewright.session import run_dir
 
 REJECT = 0.3  # documents that are less likely good than this go
@@ -22,8 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group. Rows without an id stay, as do rows that repeat an id."""
     groups = neardup.near_duplicates(docs, SIMILAR)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, groups.filter(F.col("doc_id") != F.col("component_id")))
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

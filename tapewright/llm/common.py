@@ -28,6 +28,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FEW = 1_000_000  # ids that are broadcast: some tens of megabytes
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is among ``ids``; rows with a null key stay.
+
+    The ids are written and counted first. Few are broadcast, so that the texts stay where they are; more are joined by
+    shuffling both sides.
+    """
+    ids = saved(ids.select(key).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_anti").select(*docs.columns)
+
+
 def digest(column: str = "text"):
     """64-bit digest that tells apart the texts of one document id."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
