@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import table
+from tapewright.llm.common import table, without
 
 WINDOW = 8  # words
 LEAST = 4  # words of the shortest benchmark item that is searched for, and plain words of a window
@@ -22,19 +22,19 @@ UNITS = (
     "month months year years hz khz mhz ghz w kw mw v a kb mb gb tb k °c °f % percent degrees usd eur gbp dollar dollars euro euros cent cents"
 ).split()
 
-NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*"
 UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
+APART = r"[^a-z\p{L}\p{M}\p{N}#@%_]+"
 
 
 def typed_words(text: Column) -> Column:
     """Words of a text with their types. A capitalised word that follows a word or a comma counts as a name, but not one
-    all in capitals: shouting changes no template."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[#@%<>]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", "@$1")
-    marked = F.regexp_replace(t, rf"({NUMBER})\s?(?i:({UNIT}))(?![\p{{L}}\p{{N}}])", "#$1 %$2")
-    marked = F.regexp_replace(marked, rf"(?<!#)({NUMBER})(?![\p{{L}}\p{{N}}])", "#$1")
-    words = F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}#@%.,:/]+|[.,:/]+(?!\p{N})|(?<!\p{N})[.,:/]+")
-    return F.filter(words, lambda w: w != "")
+    all in capitals: shouting changes no template. Patterns start at the rare character, which most places lack."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[#@%<>_]", " ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})(?=\p{Ll})", "@$0")
+    n = F.regexp_replace(t, r"(\p{N})[.,:/](?=\p{N})", "$1_")
+    n = F.regexp_replace(n, r"\p{N}(?<![\p{L}\p{N}_]\p{N})(?=[\p{N}_]*(?!\p{L}))[\p{N}_]*+(?!\p{L})", "#$0")
+    n = F.regexp_replace(n, rf"(?<=\p{{N}})\s?(?i:({UNIT}))(?![\p{{L}}\p{{N}}])", " %$1")
+    return F.array_remove(F.split(F.lower(F.when(t.rlike(r"\p{N}"), n).otherwise(t)), APART), "")
 
 
 def template(words: Column) -> Column:
@@ -42,15 +42,22 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(first(w).isin("#", "@", "%"), first(w)).otherwise(w))
 
 
+def codes(words: Column) -> Column:
+    first = lambda w: F.substring(w, 1, 1)
+    # The marks stand before all letters, so one comparison tells most words from slots.
+    slot = lambda w: F.when(first(w).isin("#", "@", "%"), first(w)).otherwise(w)
+    return F.transform(words, lambda w: F.when(w >= "a", F.xxhash64(w)).otherwise(F.xxhash64(slot(w))))
+
+
 def windows(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
     """A row for each window of ``length`` words: ``at`` (its first word), ``hash`` of its template, its ``words``.
 
-    ``rows`` has ``words`` and ``template``.
+    ``rows`` has ``words`` and ``codes``, a hash of each word's template.
     """
     count = F.size("words") - length + 1
     hashes = F.when(
         count > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice("template", i, length))),
+        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice("codes", i, length))),
     )
     return rows.select(*keep, "words", F.posexplode(hashes).alias("at", "hash"))
 
@@ -75,10 +82,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     than the item.
     """
     base = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), typed_words(F.col("text")).alias("words"))
-    base = base.filter(F.size("words") >= LEAST).withColumn("template", template(F.col("words")))
+    base = base.filter(F.size("words") >= LEAST).withColumn("codes", codes(F.col("words")))
     short = [r[0] for r in base.filter(F.size("words") < window).select(F.size("words")).distinct().collect()]  # below ``window`` values
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), typed_words(F.col("text")).alias("words"))
-    own = own.withColumn("template", template(F.col("words")))
+    own = own.withColumn("codes", codes(F.col("words")))
     found = None
     for length in [window, *sorted(short)]:
         fitting = base.filter(F.size("words") >= window) if length == window else base.filter(F.size("words") == length)
@@ -118,7 +125,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark question; rows with a null id stay."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, leaks(docs, items))
 
 
 def op9_templates(spark, sf_dir: str) -> DataFrame:
