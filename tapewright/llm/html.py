@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections.abc import Iterator
@@ -12,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import mixed, partitions, sized, table
-from tapewright.llm.suffixes import previous_smaller
+from tapewright.llm.common import FEW, mixed, partitions, saved, sized, table
 
 RUN = 8  # tokens of the shortest run that counts as repeated
-COPY = 0.6  # share of a page's open text above which repeats make it a copy of a page rather than boilerplate
+GRAM = 4  # tokens whose least hash is a run's key
+PAGES = 3  # distinct pages that make a repeated run boilerplate; 2 on a host that has no more
+FREQUENT = 2000  # pieces of a key above which their windows are dealt one by one
+HASHES = 500_000  # words whose hashes a task keeps
 
 # Names of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,146 +138,203 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    found = _hashes.get(word)
+    if found is None:
+        if len(_hashes) >= HASHES:
+            _hashes.clear()
+        found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            _hashes[word] = found
+    return found
+
+
 def _tokens(text: str) -> np.ndarray:
-    raw = [w.encode()[:64] for w in text.lower().split()]
-    out = np.zeros(len(raw), np.uint64)
-    for i, w in enumerate(raw):
-        h = np.frombuffer(w.ljust(-(-len(w) // 8) * 8, b"\0"), "<u8")
-        out[i] = mixed(h * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum() + np.uint64(len(w))
-    return mixed(out)
+    return np.array([_hash(w) for w in text.lower().split()], np.uint64)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+#: ``page`` names a page by its open text: pages that say the same count as one.
+KEYS = "key long, page long"
+PIECES = "host long, key long, page_id long, copy long, page long, at int, tokens binary"
+
 
+def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.uint64, int, np.ndarray]]:
+    """Of each page its id, digest, host, name and the tokens of all its blocks, declared ones included."""
+    for page_id, copy, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "copy", "url", "html")), strict=True):
+        page = blocks(text or "")
+        tokens = [_tokens(b.text) for b in page]
+        says = _joined([t for t, b in zip(tokens, page, strict=True) if b.open]).tobytes()
+        name = int.from_bytes(hashlib.blake2b(says, digest_size=8).digest(), "little", signed=True)
+        yield page_id, copy, np.uint64(_hash("//" + host(url))), name, _joined(tokens)
 
-def _stream(page: list[Block]) -> list[tuple[int, Block]]:
-    """What a page has to be compared by: all blocks that are not declared an article; of a page without one, all."""
-    return [(i, b) for i, b in enumerate(page) if not b.article]
 
+def _keys(of: np.uint64, stream: np.ndarray) -> np.ndarray:
+    """Key of each window of ``RUN`` tokens: the least hash of its ``GRAM`` tokens and the host."""
+    if len(stream) < RUN:
+        return np.empty(0, np.uint64)
+    grams = np.full(len(stream) - GRAM + 1, of, np.uint64)
+    for k in range(GRAM):
+        grams = mixed(grams + stream[k : k + len(grams)])
+    return np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(axis=1)
 
-#: ``page`` names a page by what it says: pages with one stream count as one.
-PIECES = "host long, key long, page_id long, copy long, page long, at int, tokens array<long>"
+
+def _host_key(of: np.uint64) -> np.ndarray:
+    """Key under which every page of a host is counted."""
+    return mixed(mixed(np.array([of], np.uint64)))
+
+
+def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each page, its host's included."""
+    for batch in sized(batches, "html"):
+        keys, pages = [], []
+        for _, _, of, name, stream in _streams(batch):
+            got = np.unique(np.concatenate([_keys(of, stream), _host_key(of)]))
+            keys.append(got.view(np.int64))
+            pages.append(np.full(len(got), name, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(pages))], ["key", "page"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of a page's token stream, joined to runs that share their least token hash."""
+    """Neighbouring windows of a page's token stream that share a key; one row without tokens counts the page."""
     for batch in sized(batches, "html"):
         rows = []
-        for page_id, copy, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "copy", "url", "html")), strict=True):
-            page = blocks(text or "")
-            if any(b.article for b in page):
-                continue  # its article is declared
-            tokens = [_tokens(b.text) for _, b in _stream(page)]
-            stream = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
-            if len(stream) < RUN:
-                continue
-            least = np.lib.stride_tricks.sliding_window_view(stream, RUN).min(axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
-            name = host(url).encode()
-            h = int(mixed(np.frombuffer(name.ljust(-(-max(len(name), 1) // 8) * 8, b"\0"), "<u8") + np.arange(-(-max(len(name), 1) // 8), dtype=np.uint64)).sum())
-            whole = int(mixed(stream + np.arange(len(stream), dtype=np.uint64)).sum().view(np.int64))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                piece = stream[a : b + RUN - 1].view(np.int64).tolist()
-                rows.append((h - (1 << 64) * (h >> 63), int(least[a].view(np.int64)), page_id, copy, whole, int(a), piece))
+        for page_id, copy, of, name, stream in _streams(batch):
+            own = int(of.view(np.int64))
+            rows.append((own, int(_host_key(of).view(np.int64)[0]), page_id, copy, name, -1, b""))
+            keys = _keys(of, stream)
+            if len(keys):
+                cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+                for a, b, key in zip(cuts[:-1], cuts[1:], keys[cuts[:-1]].view(np.int64).tolist(), strict=True):
+                    rows.append((own, key, page_id, copy, name, a, stream[a : b + RUN - 1].tobytes()))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["host", "key", "page_id", "copy", "page", "at", "tokens"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays of the pieces of a host and key: starts whose first ``RUN`` tokens stand on another page too.
+    """Suffix arrays of the pieces of a host and key: starts whose first ``RUN`` tokens stand on several pages.
 
-    Suffixes are in order; neighbours that share ``RUN`` tokens form a run, and a suffix is repeated if the nearest
-    suffix of a smaller or of a larger page before or after it is in its run.
+    Suffixes are in order, and those that share ``RUN`` tokens form a run. ``pages`` counts a run's distinct pages up
+    to ``PAGES``: a piece names its two outer pages, and ``many`` tells that it has more.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens = batch.column("tokens")
-        values = tokens.flatten().to_numpy().view(np.uint64)
-        sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+        tokens = batch.column("tokens").to_pylist()
+        values = np.frombuffer(b"".join(tokens), np.uint64)
+        sizes = np.array([len(t) // 8 for t in tokens], np.int64)
         first = np.cumsum(sizes) - sizes
         counts = sizes - RUN + 1
         piece = np.repeat(np.arange(len(sizes)), counts)
         inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = first[piece] + inner
-        host_of = batch.column("host").to_numpy()[piece]
-        columns = [host_of, *[values[at + k] for k in range(RUN)]]
-        order = np.lexsort(columns[::-1])
-        same = np.ones(len(order), bool)
+        page = batch.column("page").to_numpy()[piece]
+        columns = [batch.column("host").to_numpy()[piece], *[values[at + k] for k in range(RUN)]]
+        order = np.lexsort([page, *columns[::-1]])
+        head = np.ones(len(order), bool)
+        head[1:] = False
         for c in columns:
-            same[1:] &= c[order][1:] == c[order][:-1]
-        run = np.cumsum(~same)
-        page = batch.column("page").to_numpy()[piece][order]
-        n = len(order)
-        found = np.zeros(n, bool)
-        for v in (page, -page):
-            before = previous_smaller(v)
-            after = n - 1 - previous_smaller(v[::-1])[::-1]
-            found |= (before >= 0) & (run[np.maximum(before, 0)] == run)
-            found |= (after < n) & (run[np.minimum(after, n - 1)] == run)
-        hit = order[found]
-        names = batch.column("piece").to_numpy()[piece[hit]]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(inner[hit].astype(np.int32))], ["piece", "inner"])
+            head[1:] |= c[order][1:] != c[order][:-1]
+        run = np.cumsum(head) - 1
+        other = head.copy()
+        other[1:] |= page[order][1:] != page[order][:-1]
+        pages = np.bincount(run[other])
+        pages[run[batch.column("many").to_numpy(zero_copy_only=False)[piece][order]]] = PAGES
+        pages = np.minimum(pages, PAGES)[run].astype(np.int32)
+        hit = order[pages > 1]
+        rows = [pa.array(batch.column(c).to_numpy()[piece[hit]]) for c in ("host", "piece")]
+        yield pa.RecordBatch.from_arrays([*rows, pa.array(inner[hit].astype(np.int32)), pa.array(pages[pages > 1])], ["host", "piece", "inner", "pages"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of a piece, with its tokens."""
+    for batch in batches:
+        tokens = batch.column("tokens").to_pylist()
+        places = [(i, k) for i, t in enumerate(tokens) for k in range(len(t) // 8 - RUN + 1)]
+        taken = batch.select(["host", "piece", "page", "many"]).take(pa.array([i for i, _ in places], pa.int64()))
+        inner = pa.array([k for _, k in places], pa.int32())
+        window = pa.array([tokens[i][8 * k : 8 * (k + RUN)] for i, k in places], pa.binary())
+        yield pa.RecordBatch.from_arrays([*taken.columns, inner, window], ["host", "piece", "page", "many", "inner", "window"])
 
 
 def main_text(page: list[Block], starts: list[int]) -> list[Block]:
     """The blocks of the main text. ``starts``: places in the page's stream at which a repeated run of tokens begins.
 
-    A declared article is taken whole. Without one, open blocks are kept but for what repeated runs cover; a block that
-    they cover in part keeps its unique tokens. Where they cover most of the open text the page is a copy of another
-    page, and its text is kept.
+    Open blocks are kept but for what repeated runs cover, at any share and inside declared articles too; a block that
+    they cover in part keeps its other tokens. Of what is left, the declared blocks are the main text if they hold
+    more words than the other open blocks, else all of it is.
     """
-    declared = [b for b in page if b.article]
-    if declared:
-        return declared
-    stream = _stream(page)
-    total = sum(len(b.text.split()) for _, b in stream)
+    sizes = [len(b.text.split()) for b in page]
+    total = sum(sizes)
     covered = np.zeros(total + 1, np.int32)
     for s in starts:
         covered[s] += 1
         covered[min(s + RUN, total)] -= 1
     covered = np.cumsum(covered[:-1]) > 0
-    plan, at = [], 0
-    for _, b in stream:
-        words = b.text.split()
-        plan.append((b, words, covered[at : at + len(words)]))
-        at += len(words)
-    open_words = sum(len(w) for b, w, _ in plan if b.open)
-    if sum(int(c.sum()) for b, _, c in plan if b.open) > COPY * open_words:
-        return [b for b, _, _ in plan if b.open]
-    kept = []
-    for b, words, c in plan:
-        if b.open:
-            if not c.all():  # what only touches the block's ends belongs to a run of its neighbours
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]])))
-                for low, high in edge.reshape(-1, 2):
-                    c[low:high] = high - low >= RUN
-            text = " ".join(w for w, gone in zip(words, c, strict=True) if not gone)
-            if text:
-                kept.append(Block(text, False, True))
-    return kept
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    kept, at = [], 0
+    for b, size in zip(page, sizes, strict=True):
+        c = covered[at : at + size]
+        at += size
+        if not b.open or c.all():
+            continue
+        if c.any():  # what only touches the block's ends belongs to a run of its neighbours
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]])))
+            for low, high in edge.reshape(-1, 2):
+                c[low:high] = high - low >= RUN
+            b = Block(" ".join(w for w, gone in zip(b.text.split(), c, strict=True) if not gone), b.article, True)
+        kept.append(b)
+    declared = [b for b in kept if b.article]
+    words = [sum(len(b.text.split()) for b in some) for some in (declared, kept)]
+    return declared if 2 * words[0] > words[1] else kept
+
+
+def extract(pages: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """``page_id``, ``url``, ``text``: the main text of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
     Blocks stand in page order, joined by two line feeds. A null or blank page gives an empty text; a null url is a
-    host of its own; repeated rows give equal results each, and pages with equal streams are no distinct pages; null ids are kept
-    and compared with nothing. An empty table gives an empty result.
+    host of its own; repeated rows give equal results each, and pages with equal open texts are no distinct pages; null
+    ids are kept and compared with nothing. An empty table gives an empty result.
 
-    Pages whose markup declares the article need no comparison. Of the others, every run of ``RUN`` tokens of a host is
-    keyed by its least token hash; a task sorts the suffixes of whole keys, so a host of any size is spread over tasks.
-    Equal pieces are put together before they travel: two pages are enough to know that a piece is repeated.
+    The token streams of all pages are compared. A run of ``RUN`` tokens is keyed by its host and the least hash of its
+    ``GRAM`` tokens; keys of one page are left out first. A task sorts the suffixes of whole keys; the windows of a key
+    with more than ``frequent`` different pieces are dealt one by one. Equal pieces are put together before they
+    travel: their two outer pages, and whether there are more, tell on how many pages a run stands.
     """
     n = partitions(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("copy", F.xxhash64("url", "html"))
-    pieces = own.filter("page_id is not null").mapInArrow(_pieces, PIECES)
-    # Of equal pieces the smallest and the largest page ask; the answer holds for all pages that have the piece.
-    named = pieces.withColumn("piece", F.xxhash64("host", "key", "tokens"))
-    asked = named.groupBy("host", "key", "piece").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.first("tokens").alias("tokens"))
-    both = asked.select("host", "key", "piece", "tokens", F.explode(F.array_distinct(F.array("first", "last"))).alias("page"))
-    dealt = both.repartition(n, "host", "key").sortWithinPartitions("host", "key")
-    known = dealt.mapInArrow(lambda b: _repeated(_whole(b)), "piece long, inner int").distinct()
-    places = named.select("page_id", "copy", "at", "piece").join(known, "piece")
+    asking = own.filter("page_id is not null")
+    shared = asking.mapInArrow(_page_keys, KEYS).groupBy("key").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    shared = saved(shared.filter("first < last").select("key"))
+    shared = F.broadcast(shared) if shared.count() <= FEW else shared
+    named = saved(asking.mapInArrow(_pieces, PIECES).join(shared, "key", "left_semi").withColumn("piece", F.xxhash64("host", "key", "tokens")))
+    need = named.filter("at < 0").groupBy("host").agg(F.least(F.countDistinct("page"), F.lit(PAGES)).alias("need"))
+    named = named.filter("at >= 0")
+
+    outer = [F.min("page").alias("first"), F.max("page").alias("last"), (F.countDistinct("page") > 2).alias("many")]
+    pieces = saved(named.groupBy("host", "key", "piece").agg(*outer, F.first("tokens").alias("tokens")))
+    busy = pieces.groupBy("host", "key").count().filter(F.col("count") > frequent).select("host", "key")
+    both = pieces.withColumn("page", F.explode(F.array_distinct(F.array("first", "last"))))
+    dealt = both.join(busy, ["host", "key"], "left_anti").select("host", "key", "piece", "page", "many", "tokens")
+    dealt = dealt.repartition(n, "host", "key").sortWithinPartitions("host", "key")
+    found = dealt.mapInArrow(lambda b: _repeated(_whole(b)), "host long, piece long, inner int, pages int").distinct()
+
+    single = both.join(busy, ["host", "key"], "left_semi").select("host", "piece", "page", "many", "tokens")
+    single = single.mapInArrow(_windows, "host long, piece long, page long, many boolean, inner int, window binary").withColumn("window", F.xxhash64("host", "window"))
+    count = F.when(F.max("many"), PAGES).otherwise(F.least(F.countDistinct("page"), F.lit(PAGES))).cast("int")
+    known = single.groupBy("host", "window").agg(count.alias("pages")).filter("pages > 1")
+    found = found.union(single.select("host", "piece", "inner", "window").distinct().join(known, ["host", "window"]).select("host", "piece", "inner", "pages"))
+
+    found = found.join(need, "host").filter("pages >= need").select("piece", "inner")
+    places = named.select("page_id", "copy", "at", "piece").join(found, "piece")
     places = places.groupBy("page_id", "copy").agg(F.collect_set(F.col("at") + F.col("inner")).alias("starts"))
     joined = own.join(places, ["page_id", "copy"], "left").select("page_id", "url", "html", "starts")
 

@@ -166,6 +166,36 @@ def test_repeats_of_a_host_are_boilerplate(spark):
     assert got[10] == own[0] and "many small things" in got[9]
 
 
+PAGE = "page_id long, url string, html string"
+
+
+def own_words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_repeats_inside_declared_articles(spark):
+    note = "<div>this site uses many small things to make your day a bit better</div>"
+    rows = [(i, f"http://h/{i}", page(f"<main>{note}<div><p>{own_words(i, 20)}</p></div></main>")) for i in range(5)]
+    rows += [(5 + i, f"http://t/{i}", page(f"<article>teaser number {i}</article><div>{own_words(i, 60)}</div>")) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert {i: got[i] for i in range(5)} == {i: own_words(i, 20) for i in range(5)}
+    assert all(own_words(i, 60) in got[5 + i] for i in range(3))
+
+
+@pytest.mark.parametrize("frequent", [html.FREQUENT, 1])
+def test_boilerplate_of_short_pages_and_long_tokens(spark, frequent):
+    note = "<div>this site uses many small things to make your day a bit better</div>"
+    end = "<div>read more of our very best stories here and there every day</div>"
+    rows = [(i, f"http://h/{i}", page(f"{note}<p>{own_words(i, 15)}</p>{end}")) for i in range(4)]
+    # A page and its edited copy, and pages whose tokens only differ behind their first 64 bytes.
+    copied = own_words(9, 60)
+    rows += [(9, "http://h/9", page(f"{note}<p>{copied}</p>{end}")), (10, "http://h/10", page(f"{note}<p>{copied} edited</p>{end}"))]
+    long = {i: " ".join("\u6f22" * 24 + f"{i}x{k}" for k in range(12)) for i in range(20, 24)}
+    rows += [(i, f"http://l/{i}", page(f"<p>{t}</p>")) for i, t in long.items()]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGE), frequent).collect()}
+    assert got == {i: own_words(i, 15) for i in range(4)} | {9: copied, 10: copied + " edited"} | long
+
+
 # --- quality and toxicity
 
 
