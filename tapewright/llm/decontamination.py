@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import table, without
 
 WINDOW = 8  # words
-LEAST = 4  # words of the shortest benchmark item that is searched for, and plain words of a window
+LEAST = 4  # plain words of a window that is searched for by its template; with fewer, all words have to be equal
 SMALL = 2_000_000  # windows of a benchmark that is broadcast; a larger one is joined by shuffling
 
 # Units of measure that may follow a number.
@@ -70,48 +70,64 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_windows``, ``n_changed``, ``share``: documents that hold a benchmark question.
 
     A document and an item match where a window of ``window`` words has one template (the whole item, where it is
-    shorter), at least ``LEAST`` of its words being plain, and the slots agree: over all matched windows of one
-    alignment, equal slot values of the item are equal in the document too, and different ones differ.
+    shorter), at least ``LEAST`` of its words being plain, and its slots agree with the alignment: a slot value of the
+    item has one value in the document, the one that most of its places have (the unchanged one of equally many).
+    Windows that contradict it are left out, windows without a changed slot never are. Windows and items with fewer
+    than ``LEAST`` plain words match where all words are equal.
     ``n_windows`` counts the matched windows of the best alignment, ``share`` is their part of the item's windows,
     ``n_changed`` the slots with another value: a re-parameterised question has some. Null and empty texts and items
-    with fewer than ``LEAST`` words match nothing, null ids are left out, repeated rows count once, and empty tables
-    give an empty result.
+    match nothing, null ids are left out, repeated rows count once, and empty tables give an empty result.
 
     The document side is not shuffled while the benchmark is small, which is counted first; beyond ``SMALL`` windows
     both sides are shuffled by hash. Matched windows are summed up by document, item and alignment, a group no larger
     than the item.
     """
     base = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), typed_words(F.col("text")).alias("words"))
-    base = base.filter(F.size("words") >= LEAST).withColumn("codes", codes(F.col("words")))
+    base = base.filter(F.size("words") > 0)
     short = [r[0] for r in base.filter(F.size("words") < window).select(F.size("words")).distinct().collect()]  # below ``window`` values
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), typed_words(F.col("text")).alias("words"))
-    own = own.withColumn("codes", codes(F.col("words")))
+    literal = F.transform("words", lambda w: F.xxhash64(w))
     found = None
     for length in [window, *sorted(short)]:
         fitting = base.filter(F.size("words") >= window) if length == window else base.filter(F.size("words") == length)
-        asked = windows(fitting, ["item_id"], length).select(
-            "item_id",
-            F.col("at").alias("item_at"),
-            "hash",
-            F.slice("words", F.col("at") + 1, F.lit(length)).alias("asked"),
-            (F.size("words") - length + 1).alias("of"),
-        )
-        asked = asked.filter(_plain(F.col("asked")) >= LEAST).distinct()
-        if asked.count() <= SMALL:
-            asked = F.broadcast(asked)
-        seen = windows(own, ["doc_id"], length).join(asked, "hash")
-        got = F.slice("words", F.col("at") + 1, F.lit(length))
-        seen = seen.withColumn("got", got).filter(template(F.col("got")) == template(F.col("asked")))
-        part = seen.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", "asked", "got")
-        found = part if found is None else found.union(part)
-    pairs = F.filter(F.arrays_zip("asked", "got"), lambda p: F.substring(p["asked"], 1, 1).isin("#", "@", "%"))
-    lines = (
-        found.withColumn("slots", pairs)
-        .groupBy("doc_id", "item_id", "shift")
-        .agg(F.countDistinct("item_at").alias("n_windows"), F.max("of").alias("of"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    )
-    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda p: p[field])))
-    lines = lines.filter((distinct("asked") == F.size("slots")) & (distinct("got") == F.size("slots")))
+        # Windows with too few plain words are searched for as they stand.
+        for exact in (False, True):
+            coded = lambda rows: rows.withColumn("codes", literal if exact else codes(F.col("words")))  # noqa: B023, E731
+            asked = windows(coded(fitting), ["item_id"], length).select(
+                "item_id",
+                F.col("at").alias("item_at"),
+                "hash",
+                F.slice("words", F.col("at") + 1, F.lit(length)).alias("asked"),
+                (F.size("words") - length + 1).alias("of"),
+            )
+            plain = _plain(F.col("asked"))
+            asked = asked.filter(plain < LEAST if exact else plain >= LEAST).distinct()
+            count = asked.count()
+            if found is not None and not count:
+                continue
+            if count <= SMALL:
+                asked = F.broadcast(asked)
+            got = F.slice("words", F.col("at") + 1, F.lit(length))
+            seen = windows(coded(own), ["doc_id"], length).join(asked, "hash").withColumn("got", got)
+            seen = seen.filter(F.col("got") == F.col("asked") if exact else template(F.col("got")) == template(F.col("asked")))
+            part = seen.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", "asked", "got")
+            found = part if found is None else found.union(part)
+    line = ["doc_id", "item_id", "shift"]
+    placed = F.transform(F.arrays_zip("asked", "got"), lambda p, i: F.struct((F.col("item_at") + i).alias("place"), p["asked"].alias("asked"), p["got"].alias("got")))
+    slots = F.filter(placed, lambda p: F.substring(p["asked"], 1, 1).isin("#", "@", "%"))
+    value = lambda p: F.struct(p["asked"].alias("asked"), p["got"].alias("got"))
+    lines = found.withColumn("slots", slots).groupBy(*line).agg(F.max("of").alias("of"), F.collect_set(F.struct("item_at", "slots")).alias("windows"))
+    lines = lines.withColumn("places", F.array_distinct(F.flatten(F.col("windows.slots"))))
+    times = lambda v: F.size(F.filter("places", lambda p: (p["asked"] == v["asked"]) & (p["got"] == v["got"])))
+    tally = F.transform(F.array_distinct(F.transform("places", value)), lambda v: F.struct(v["asked"].alias("asked"), v["got"].alias("got"), times(v).alias("n")))
+    lines = lines.withColumn("tally", tally)
+    # The value that most places of an item's value have; of equally many the unchanged one, else none.
+    beats = lambda o, v: (o["n"] > v["n"]) | ((o["n"] == v["n"]) & (v["asked"] != v["got"]))
+    others = lambda v: F.exists("tally", lambda o: (o["asked"] == v["asked"]) & (o["got"] != v["got"]) & beats(o, v))
+    lines = lines.withColumn("agreed", F.transform(F.filter("tally", lambda v: ~others(v)), value))
+    lines = lines.select(*line, "of", "agreed", F.explode("windows").alias("w")).withColumn("slots", F.transform("w.slots", value))
+    lines = lines.filter((F.size(F.array_except("slots", "agreed")) == 0) | ~F.exists("slots", lambda v: v["asked"] != v["got"]))
+    lines = lines.groupBy(*line).agg(F.countDistinct("w.item_at").alias("n_windows"), F.max("of").alias("of"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     changed = F.size(F.filter("slots", lambda p: p["asked"] != p["got"]))
     best = lines.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -changed, "of")).alias("b"))
     return best.select(

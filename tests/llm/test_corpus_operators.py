@@ -427,6 +427,25 @@ def test_templates(spark):
     assert "Python" not in decontamination.leaks(d, b)._jdf.queryExecution().toString()
 
 
+def found_leaks(spark, docs, items):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.n_windows, r.n_changed) for r in decontamination.leaks(d, b).collect()}
+
+
+def test_slots_that_contradict_drop_their_windows_only(spark):
+    long = "then Alice went along the old river to see what the other people had done there that summer and so {} came home again very late"
+    items = [(1, long.format("Alice")), (2, "a shop sells 5 red pens and 3 blue pens to each of them")]
+    docs = [(1, long.format("Alicia")), (2, "a shop sells 4 red pens and 4 blue pens to each of them")]
+    got = found_leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1] == (13, 0) and got[2, 2] == (7, 2)
+
+
+def test_items_of_few_plain_words(spark):
+    items = [(1, "Compute 12 + 7 - 3 * 4 + 9"), (2, "So Anna Berta Clara Dora Emma Frida Greta Hanna Ida"), (3, "two words")]
+    docs = [(i, f"and then: {t} ok") for i, t in items] + [(9, "Compute 12 + 7 - 3 * 4 + 8"), (10, "two other words")]
+    assert set(found_leaks(spark, docs, items)) == {(1, 1), (2, 2), (3, 3)}
+
+
 # --- shards
 
 
