@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, decontamination, html, licences, neardup, quality, sharding, suffixes, topk, toxicity
+from tapewright.llm import bpe, decontamination, html, licences, neardup, packing, quality, sharding, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_gated_network": toxicity.op8_gated_network,
     "op9_templates": decontamination.op9_templates,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
+    "op11_cutting_stock": packing.op11_cutting_stock,
 }
 
 ORACLES: dict[str, str] = {
