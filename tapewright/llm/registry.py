@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, decontamination, html, licences, neardup, packing, quality, sharding, suffixes, topk, toxicity, whitening
+from tapewright.llm import bpe, decontamination, html, licences, neardup, packing, quality, sharding, spelling, suffixes, topk, toxicity, whitening
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_templates": decontamination.op9_templates,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
     "op11_cutting_stock": packing.op11_cutting_stock,
+    "op12_count_trie": spelling.op12_count_trie,
     "op13_exact_whitening": whitening.op13_exact_whitening,
 }
 
