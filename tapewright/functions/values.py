@@ -12,8 +12,6 @@ NUMBER_PATTERN = (
 )
 MONEY_PATTERN = r"^([+-]?[0-9_]*\.?[0-9]+) ([A-Z][A-Z0-9]*)$"
 
-# Narrow enough that a sum of sums still keeps all eight decimals.
-QUANTITY = "decimal(26,8)"
 NOTIONAL = "decimal(26,8)"
 MONEY = "decimal(38,18)"
 # What rounding to eight decimals may take from a product for it to be kept in them.
@@ -40,26 +38,29 @@ def safe_number(text: Column | str) -> Column:
     return number_text(text).try_cast("double")
 
 
-def safe_quantity(text: Column | str) -> Column:
-    """Text to an exact quantity. NaN and infinities have no exact form and become NULL."""
-    text = _col(text)
-    separated = F.when(text.contains("_"), number_text(text).try_cast(QUANTITY))
-    return F.coalesce(text.try_cast(QUANTITY), separated)
-
-
-def notional(quantity: Column, price: Column) -> Column:
-    """Quantity times price, rounded once to a fixed scale so that sums do not depend on their order.
+def product_text(quantity: str, price: str) -> Column:
+    """Quantity times price (names of DOUBLE columns) as text: with eight decimals where that costs no digits, else with all.
 
-    NULL where the product has no place in that scale or loses digits in it; ``rest_notional`` has it then.
+    A large product is a whole number; its digits come from three parts of 53 bits, as the text of a DOUBLE is rounded.
     """
-    product = quantity.cast("double") * price.cast("double")
-    fixed = product.try_cast(NOTIONAL)
-    return F.when(F.abs(fixed.cast("double") - product) <= F.abs(product) * FIXED_ERROR, fixed)
-
-
-def rest_notional(quantity: Column, price: Column) -> Column:
-    """The products that ``notional`` cannot hold to nine digits, as DOUBLE: very large or very small ones."""
-    return F.when(notional(quantity, price).isNull(), quantity.cast("double") * price.cast("double"))
+    two53, two106 = f"{2**53}BD", f"{2**106}BD"
+    parts = (
+        "transform(array(abs(p)), s -> named_struct('high', floor(s / 8.112963841460668E31D), 's', s))[0]",
+        "transform(array({0}), h -> named_struct('high', h.high, 'rest', h.s - cast(h.high as double) * 8.112963841460668E31D))[0]",
+        "transform(array({0}), h -> named_struct('high', h.high, 'mid', floor(h.rest / 9007199254740992D), 'rest', h.rest))[0]",
+    )
+    split = parts[0]
+    for part in parts[1:]:
+        split = part.format(split)
+    low = "cast(h.rest - cast(h.mid as double) * 9007199254740992D as bigint)"
+    whole = (
+        f"cast(cast(cast(h.high as decimal(10,0)) * {two106} as decimal(38,0)) + cast(cast(h.mid as decimal(17,0)) * {two53} as decimal(38,0)) "
+        f"as decimal(38,0)) + cast({low} as decimal(19,0))"
+    )
+    large = f"concat(if(p < 0, '-', ''), cast(cast(transform(array({split}), h -> {whole})[0] as decimal(38,0)) as string))"
+    fixed = f"transform(array(try_cast(p as {NOTIONAL})), f -> if(abs(cast(f as double) - p) <= abs(p) * {FIXED_ERROR!r}D, cast(f as string), cast(p as string)))[0]"
+    shown = f"case when p is null then null when abs(p) >= 1e16D and abs(p) < 1e37D then {large} else coalesce({fixed}, cast(p as string)) end"
+    return F.expr(f"transform(array({quantity} * {price}), p -> {shown})[0]")
 
 
 def money_amount(text: Column | str) -> Column:

@@ -27,7 +27,7 @@ def asof_join(
 
     Both inputs are put on one time line and scanned once; no pairs are formed, so dense series cost no more
     than their rows. Ties in time count as "at"; among values of one instant ``seq`` decides.
-    ``block`` cuts the time line of a hot key; it defaults to the day.
+    The time line of a hot key is cut into blocks of equal depth, or into ``block``.
     """
     forward = direction == "forward"
     # The values of an instant have to be passed before its probes, whichever way the scan runs.
@@ -43,7 +43,6 @@ def asof_join(
     right = values.select(*by, on, F.lit(value_side).alias(_SIDE), F.col(seq).alias(_SEQ), F.struct(*take).alias(_HIT))
     line = left.unionByName(right, allowMissingColumns=True)
     hit = F.when(F.col(_SIDE) == value_side, F.col(_HIT))
-    block = F.to_date(on) if block is None else block
     scanned = running(
         line,
         by,

@@ -31,9 +31,9 @@ def preferred_columns(df: DataFrame, wanted: Sequence[str], keep: Sequence[str]
 
 
 def order_status() -> Column:
-    filled, total = F.col("qty_filled"), F.col("qty_total")
+    filled = F.col("qty_filled").cast("double")
     return (
-        F.when((filled > 0) & (filled >= total), "FILLED")
+        F.when((filled > 0) & F.col("qty_total").isNotNull() & F.col("is_complete"), "FILLED")
         .when(F.col("last_type") == "OrderCanceled", "CANCELED")
         .when(F.col("last_type").isin(*vocab.REJECTION_EVENTS), "REJECTED")
         .when(F.col("last_type") == "OrderExpired", "EXPIRED")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tapewright.functions import values, vocab
 from tapewright.operators.asof import asof_join
-from tapewright.operators.orders import log_block
 from tapewright.operators.skew import HOT_ROWS, Track, running
 
 INSTRUMENT = ["instrument_id"]
@@ -25,14 +24,14 @@ def spread_signals(
     wide = wide.where(F.col("bps") > F.lit(str(threshold_bps)).cast("decimal(20,10)"))
     # Among the wide quotes the predecessor always carries the value last signalled.
     tracks = {"_last": Track("last", F.col("bps"))}
-    seen = running(wide, INSTRUMENT, ["seq"], tracks, block=log_block(), exclusive=True, hot_rows=hot_rows)
+    seen = running(wide, INSTRUMENT, ["seq"], tracks, exclusive=True, hot_rows=hot_rows)
     return seen.where(F.col("_last").isNull() | (F.col("_last") != F.col("bps"))).drop("_last")
 
 
 def sampled_ticks(quotes: DataFrame, every: int = vocab.SAMPLE_EVERY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every n-th quote of an instrument with its number."""
     tracks = {"tick": Track("count", F.lit(1))}
-    numbered = running(quotes, INSTRUMENT, ["seq"], tracks, block=log_block(), hot_rows=hot_rows)
+    numbered = running(quotes, INSTRUMENT, ["seq"], tracks, hot_rows=hot_rows)
     return numbered.where(F.col("tick") % every == 0)
 
 

@@ -1,7 +1,7 @@
 """Ordered scans and top-k that stay correct and balanced when one key holds most of the rows.
 
-* :func:`running` - running sums and first/last values along an order. A key with many rows is cut into blocks
-  along that order; each block is scanned on its own and receives the totals of the blocks before it.
+* :func:`running` - running sums and first/last values along an order. A key with many rows is cut into blocks of about equal
+  size along that order; each block is scanned on its own and receives the totals of the blocks before it.
 * :func:`top_per_key` - first n rows per key in two steps, so that no task sees more than its share.
 """
 
@@ -13,16 +13,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tapewright.functions import amounts
+
 # Of a key with more rows than this no task holds more than a block. There are at most as many such keys as the table
 # has millions of rows, so their list is small beside any executor's share of it.
 HOT_ROWS = 1_000_000
+# Sampled positions a block, and blocks of a key at most: its splitters are one array.
+SAMPLES, MOST_BLOCKS, STEP = 256, 1024, 32
 
 _BLOCK, _HOT, _SALT = "_block", "_hot", "_salt"
 
 
 @dataclass(frozen=True)
 class Track:
-    """One running value: ``sum`` and ``count`` start at zero, ``first``/``last``/``max`` skip NULLs."""
+    """One running value: ``sum``, ``count`` and ``amount`` start at zero, ``first``/``last``/``max`` skip NULLs.
+
+    ``amount`` adds up exact amounts (``functions.amounts``) band by band.
+    """
 
     kind: str
     value: Column
@@ -30,6 +37,8 @@ class Track:
     def over(self, window) -> Column:
         if self.kind == "sum":
             return F.coalesce(F.sum(self.value).over(window), F.lit(0))
+        if self.kind == "amount":
+            return amounts.total(self.value, window)
         if self.kind == "count":
             return F.count(self.value).over(window)
         if self.kind == "first":
@@ -42,6 +51,8 @@ class Track:
         """Value of a whole block; partial aggregation runs before the shuffle."""
         if self.kind == "sum":
             return F.sum(self.value)
+        if self.kind == "amount":
+            return amounts.total(self.value)
         if self.kind == "count":
             return F.count(self.value)
         if self.kind == "max":
@@ -64,17 +75,51 @@ class Track:
         return F.greatest(local, carried)
 
 
-def mark_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_block``: the block of a row whose key is hot, NULL for all other rows. A NULL key may be hot like any."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias(_HOT))
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
+def splitters(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row for each key with more than ``hot_rows`` rows: positions along ``order`` that cut it into blocks of equal depth.
+
+    The positions are quantiles of a sample of the key's own rows. A row is in the sample by the hash of its key and position, so
+    every run takes the same; some hundred rows a block make blocks that differ by a few percent.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = counts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    blocks = F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MOST_BLOCKS)).cast("int")
+    share = F.least(F.lit(1.0), blocks * SAMPLES / F.col("_rows"))
+    position = F.struct(*order)
+    drawn = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 30)) < share * (1 << 30)
+    sample = df.select(*keys, *order).join(F.broadcast(hot), _same(keys)).where(drawn)
+    sample = sample.groupBy(*[f"_key_{k}" for k in keys]).agg(
+        F.array_sort(F.collect_list(position)).alias("_all"), F.first(blocks).alias("_blocks")
     )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    marked = df.join(F.broadcast(hot), same, "left").withColumn(_BLOCK, F.when(F.col(_HOT), block))
-    return marked.drop(_HOT, *[f"_key_{k}" for k in keys])
+    cuts = F.expr("transform(sequence(1, greatest(_blocks - 1, 1)), i -> _all[cast(i * size(_all) div greatest(_blocks, 2) as int)])")
+    return sample.select(*[f"_key_{k}" for k in keys], cuts.alias("_cuts"))
+
+
+def _block_of(position: Column, cuts: Column) -> Column:
+    """Number of cuts at or before a position: first among every ``STEP``-th cut, then among the few between two of these."""
+    coarse = F.filter(cuts, lambda c, i: (i % STEP == STEP - 1) & (c <= position))
+    after = F.size(coarse) * STEP
+    return after + F.size(F.filter(F.slice(cuts, after + 1, STEP), lambda c: c <= position))
+
+
+def mark_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, block: Column | None = None) -> DataFrame:
+    """Add ``_block``: the block of a row whose key is hot, NULL for all other rows. A NULL key may be hot like any.
+
+    Blocks have about ``hot_rows`` rows each; ``block`` may name others, which must never decrease along ``order``.
+    """
+    if block is not None:
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+        hot = hot.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias(_HOT))
+        marked = df.join(F.broadcast(hot), _same(keys), "left").withColumn(_BLOCK, F.when(F.col(_HOT), block))
+        return marked.drop(_HOT, *[f"_key_{k}" for k in keys])
+    cuts = splitters(df, keys, order, hot_rows)
+    marked = df.join(F.broadcast(cuts), _same(keys), "left")
+    inside = F.when(F.col("_cuts").isNotNull(), _block_of(F.struct(*order), F.col("_cuts")))
+    return marked.withColumn(_BLOCK, inside).drop("_cuts", *[f"_key_{k}" for k in keys])
 
 
 def running(
@@ -83,17 +128,22 @@ def running(
     order: Sequence[str],
     tracks: dict[str, Track],
     *,
-    block: Column,
+    block: Column | None = None,
     reverse: bool = False,
     exclusive: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add one running value per track, per ``keys`` along ``order``.
 
-    ``order`` has to be a total order inside a key, ``block`` must never decrease along it. ``reverse`` scans
-    from the end, ``exclusive`` leaves the current row out.
+    ``order`` has to be a total order inside a key. Hot keys are cut into blocks of equal depth, or into ``block``, which
+    must never decrease along it. ``reverse`` scans from the end, ``exclusive`` leaves the current row out. A caller that knows
+    that no key is hot says ``hot_rows=None`` and gets plain windows.
     """
-    marked = mark_blocks(df, keys, block, hot_rows)
+    if hot_rows is None:
+        ahead = W.partitionBy(*keys).orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in order])
+        ahead = ahead.rowsBetween(W.unboundedPreceding, -1 if exclusive else W.currentRow)
+        return df.select("*", *[t.over(ahead).alias(n) for n, t in tracks.items()])
+    marked = mark_blocks(df, keys, order, hot_rows, block)
 
     def along(columns: Sequence[str]) -> list[Column]:
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
@@ -113,9 +163,12 @@ def running(
 
     names = [*keys, _BLOCK]
     carried = carried.withColumnsRenamed({k: f"_key_{k}" for k in names})
-    joined = local.join(carried, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in names]), "left")
+    joined = local.join(carried, _same(names), "left")
 
     def merged(name: str, track: Track) -> Column:
+        if track.kind == "amount":
+            both = amounts.plus(f"_local_{name}", f"_carry_{name}")
+            return F.when(F.col(f"_carry_{name}").isNull(), F.col(f"_local_{name}")).otherwise(both).alias(name)
         # A sum of sums has a wider decimal type than a sum; adding both would cost decimals.
         as_type = local.schema[f"_local_{name}"].dataType
         return track.merge(F.col(f"_carry_{name}").cast(as_type), F.col(f"_local_{name}")).alias(name)

@@ -164,7 +164,7 @@ def event_type_gates(spark, d):
 
 
 def _progress(spark, d) -> DataFrame:
-    return orders.order_progress(tables.order_events(spark, d), block=tables.order_block())
+    return orders.order_progress(tables.order_events(spark, d))
 
 
 @query
@@ -193,7 +193,7 @@ def order_progress_running(spark, d):
 def completing_fills(spark, d):
     events = tables.order_events(spark, d)
     registry = reg.latest_registry(tables.announces(spark, d))
-    fills = orders.completing_fills(orders.order_progress(events, block=tables.order_block()))
+    fills = orders.completing_fills(orders.order_progress(events))
     return _fills_shown(reg.route(fills, registry, ids=events))
 
 
@@ -202,7 +202,7 @@ def forwarded_fills(spark, d):
     """The same result from raw log entries: JSON payloads are decoded on the way."""
     log = tables.order_log(tables.order_events(spark, d))
     registry = reg.latest_registry(tables.announces(spark, d))
-    return _fills_shown(forwarding.forwarded_fills(log, registry, block=tables.order_block()))
+    return _fills_shown(forwarding.forwarded_fills(log, registry))
 
 
 def _fills_shown(fills: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def _fills_shown(fills: DataFrame) -> DataFrame:
 def forwarded_log(spark, d):
     """The whole pipeline over the operations log and the order log together."""
     registry = reg.latest_registry(tables.announces(spark, d))
-    events = forwarding.forwarded_events(tables.live_log(spark, d), registry, block=tables.text_block())
+    events = forwarding.forwarded_events(tables.live_log(spark, d), registry)
     return forwarded_shown(events)
 
 

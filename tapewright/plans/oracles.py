@@ -12,6 +12,11 @@ def _nth(names, index: str) -> str:
     return f"([{items}])[CAST(({index}) % {len(names)} AS INTEGER) + 1]"
 
 
+def _double(number: str) -> str:
+    """The double nearest to a decimal: by way of its text, as a cast divides and rounds twice."""
+    return f"CAST(CAST({number} AS VARCHAR) AS DOUBLE)"
+
+
 _STATES = (
     "PRE_INITIALIZED", "READY", "RUNNING", "STOPPED", "DEGRADED",
     "FAULTED", "DISPOSED", "STARTING", "HIBERNATING", "STOPPING",
@@ -93,12 +98,18 @@ ev AS (
     CASE o_orderpriority WHEN '1-URGENT' THEN 'MARKET' WHEN '2-HIGH' THEN 'LIMIT' WHEN '3-MEDIUM' THEN 'STOP_MARKET'
       ELSE 'STOP_LIMIT' END AS order_type,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'IOC' WHEN '5-LOW' THEN 'DAY' ELSE 'GTC' END AS tif,
-    20 + (o_orderkey % 10) * 20 AS quantity, NULL AS last_qty, NULL AS last_px, NULL AS commission
+    CASE WHEN o_orderkey % 40 = 3 THEN CAST(CAST(2 + o_orderkey % 10 * 2 AS HUGEINT) * 1000000000000000000000000 AS DECIMAL(38,11))
+      ELSE CAST(20 + (o_orderkey % 10) * 20 AS DECIMAL(38,11)) END AS quantity, NULL AS last_qty, NULL AS last_px, NULL AS commission
   FROM orders
   UNION ALL
   SELECT l_orderkey, 1, l_shipdate, l_linenumber, l_partkey, l_suppkey, 'OrderFilled',
     CASE WHEN l_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END, NULL, NULL, NULL,
-    CAST(l_quantity AS DECIMAL(28,8)), CAST(l_extendedprice / l_quantity AS DECIMAL(28,8)), l_extendedprice * l_tax
+    CASE WHEN l_orderkey % 40 = 3 AND l_linenumber < 3
+        THEN CAST(CAST(l_quantity AS HUGEINT) * CASE l_linenumber WHEN 1 THEN 1000000000000000000000000 ELSE 1000000000000000000 END AS DECIMAL(38,11))
+      WHEN l_orderkey % 40 = 3 AND l_linenumber = 3 THEN CAST(l_quantity AS DECIMAL(14,0)) * 0.00000000001
+      ELSE CAST(l_quantity AS DECIMAL(38,11)) END,
+    CASE WHEN NOT (l_orderkey % 40 = 3 AND l_linenumber = 3) THEN CAST(l_extendedprice / l_quantity AS DECIMAL(28,8)) END,
+    l_extendedprice * l_tax
   FROM lineitem
   UNION ALL
   SELECT o_orderkey, 2, o_orderdate, 0, 0, 0, 'OrderCanceled', NULL, NULL, NULL, NULL, NULL, NULL, NULL
@@ -106,12 +117,12 @@ ev AS (
 paid AS (
   SELECT *, 'O' || k AS client_order_id, 'Cls-S' || (k % 200) AS strategy_id,
     'I' || (k % 50) || '.V' || (k % 5) AS instrument_id,
-    CAST(CAST(last_qty AS DOUBLE) * CAST(last_px AS DOUBLE) AS DECIMAL(38,8)) AS paid
-  FROM ev)"""
+    CASE WHEN product < 1e16 THEN CAST(product AS DECIMAL(38,8)) ELSE CAST(CAST(product AS HUGEINT) AS DECIMAL(38,8)) END AS paid
+  FROM (SELECT *, CAST(CAST(last_qty AS VARCHAR) AS DOUBLE) * CAST(last_px AS DOUBLE) AS product FROM ev))"""
 
 RUNNING = (
     ORDER_EVENTS
-    + """,
+    + f""",
 run AS (
   SELECT *,
     last_value(quantity IGNORE NULLS) OVER w AS qty_total,
@@ -125,9 +136,9 @@ run AS (
   WINDOW w AS (PARTITION BY client_order_id ORDER BY phase, happened, line, part, supp
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 progress AS (
-  SELECT *, CAST(qty_total AS DOUBLE) AS total, CAST(qty_filled AS DOUBLE) AS filled,
-    CAST(notional AS DOUBLE) / nullif(CAST(qty_filled AS DOUBLE), 0) AS vwap,
-    CAST(qty_filled AS DOUBLE) / nullif(CAST(qty_total AS DOUBLE), 0) * 100 AS pct,
+  SELECT *, {_double("qty_total")} AS total, {_double("qty_filled")} AS filled,
+    {_double("notional")} / nullif({_double("qty_filled")}, 0) AS vwap,
+    {_double("qty_filled")} / nullif({_double("qty_total")}, 0) * 100 AS pct,
     qty_total IS NULL OR qty_filled >= qty_total AS is_complete,
     type = 'OrderFilled' AND fill_count > 1 AND coalesce(qty_filled - last_qty >= qty_total, false) AS after_complete
   FROM run)"""
@@ -135,12 +146,13 @@ progress AS (
 
 FINAL = (
     ORDER_EVENTS
-    + """,
+    + f""",
 final AS (
   SELECT client_order_id, max(strategy_id) AS strategy_id, max(instrument_id) AS instrument_id,
-    CAST(max(quantity) AS DOUBLE) AS qty_total, CAST(coalesce(sum(last_qty), 0) AS DOUBLE) AS qty_filled,
+    max(quantity) AS total, coalesce(sum(last_qty), 0) AS filled,
+    {_double("max(quantity)")} AS qty_total, {_double("coalesce(sum(last_qty), 0)")} AS qty_filled,
     count(last_qty) AS fill_count,
-    CAST(sum(paid) AS DOUBLE) / nullif(CAST(sum(last_qty) AS DOUBLE), 0) AS vwap,
+    {_double("coalesce(sum(paid), 0)")} / nullif({_double("sum(last_qty)")}, 0) AS vwap,
     max(side) AS known_side, max(order_type) AS known_type, max(tif) AS known_tif,
     arg_max(type, phase) AS last_type
   FROM paid GROUP BY client_order_id)"""
@@ -287,7 +299,7 @@ FROM clicks""",
     "event_type_gates": f"WITH {OPS} SELECT seq, topic, type, state FROM gated",
     "order_progress_running": f"""WITH {RUNNING}
 SELECT client_order_id, type, CAST(phase AS BIGINT) AS phase, happened, CAST(line AS BIGINT) AS line, CAST(part AS BIGINT) AS part,
-  CAST(supp AS BIGINT) AS supp, total AS qty_total, filled AS qty_filled, CAST(qty_total - qty_filled AS DOUBLE) AS remainder,
+  CAST(supp AS BIGINT) AS supp, total AS qty_total, filled AS qty_filled, {_double("qty_total - qty_filled")} AS remainder,
   pct, vwap, fill_count, known_side, known_type, known_tif, is_complete, after_complete
 FROM progress""",
     "completing_fills": f"WITH {RUNNING}, {ANNOUNCES} {ROUTED_FILLS}",
@@ -302,8 +314,8 @@ SELECT lpad(CAST(seq AS VARCHAR), 20, '0'), topic, event_type, strategy_id, NULL
     "live_forwarding": f"""WITH {FORGETTING}, {OPS_ANNOUNCES}, {ROUTED_OPS.format(source="gated")}
 SELECT {SEQ_TEXT} AS seq, 'events.order.V1' AS topic, p.type AS event_type, p.strategy_id, p.client_order_id,
   coalesce(r.strategy_id, p.strategy_id) AS handle, CASE WHEN r.mode = 'live' THEN 'live' ELSE 'sandbox' END AS channel,
-  p.qty_total, CAST(p.filled AS DOUBLE) AS qty_filled, p.fill_count,
-  CAST(p.notional AS DOUBLE) / nullif(CAST(p.filled AS DOUBLE), 0) AS vwap
+  p.qty_total, {_double("p.filled")} AS qty_filled, p.fill_count,
+  {_double("p.notional")} / nullif({_double("p.filled")}, 0) AS vwap
 FROM lived p LEFT JOIN registry r ON p.strategy_id = 'Cls-' || r.strategy_id
 WHERE p.type = 'OrderCanceled' OR (p.type = 'OrderFilled' AND p.is_complete)
 UNION ALL
@@ -311,11 +323,11 @@ SELECT lpad(CAST(seq AS VARCHAR), 20, '0'), topic, event_type, strategy_id, NULL
 FROM routed""",
     "order_progress_final": f"""WITH {FINAL}
 SELECT client_order_id, qty_total, qty_filled, fill_count, vwap, qty_filled / nullif(qty_total, 0) * 100 AS pct,
-  qty_total - qty_filled AS remainder, known_side, known_type, known_tif,
-  qty_total IS NULL OR qty_filled >= qty_total AS is_complete, last_type
+  {_double("total - filled")} AS remainder, known_side, known_type, known_tif,
+  total IS NULL OR filled >= total AS is_complete, last_type
 FROM final""",
     "order_remainder_on_cancel": f"""WITH {RUNNING}
-SELECT client_order_id, total AS qty_total, filled AS qty_filled, CAST(qty_total - qty_filled AS DOUBLE) AS remainder, pct,
+SELECT client_order_id, total AS qty_total, filled AS qty_filled, {_double("qty_total - qty_filled")} AS remainder, pct,
   known_side AS side_shown, known_type FROM progress WHERE type = 'OrderCanceled'""",
     "order_instructions": f"""WITH {SHEET}
 SELECT client_order_id, order_type || ' ' || tif || CASE WHEN k % 3 = 0 THEN ' post_only' ELSE '' END
@@ -376,10 +388,10 @@ SELECT position_id, strategy_id, instrument_id, side, quantity, price AS avg_px_
     "orders_report": f"""WITH {FINAL}
 SELECT client_order_id, strategy_id, instrument_id, known_side AS side, known_type AS type, qty_total AS quantity,
   qty_filled AS filled_qty, vwap AS avg_px,
-  CASE WHEN qty_filled > 0 AND qty_filled >= qty_total THEN 'FILLED' WHEN last_type = 'OrderCanceled' THEN 'CANCELED'
+  CASE WHEN filled > 0 AND filled >= total THEN 'FILLED' WHEN last_type = 'OrderCanceled' THEN 'CANCELED'
     WHEN qty_filled > 0 THEN 'PARTIALLY_FILLED' ELSE 'ACCEPTED' END AS status FROM final""",
     "fills_report": f"""WITH {ORDER_EVENTS}
-SELECT client_order_id, strategy_id, instrument_id, side AS order_side, CAST(last_qty AS DOUBLE) AS last_qty,
+SELECT client_order_id, strategy_id, instrument_id, side AS order_side, {_double("last_qty")} AS last_qty,
   CAST(last_px AS DOUBLE) AS last_px, commission, happened AS ts_event FROM paid WHERE type = 'OrderFilled'""",
     "report_preview": f"""WITH {ORDER_EVENTS}
 SELECT strategy_id, client_order_id, happened, CAST(line AS BIGINT) AS line, CAST(part AS BIGINT) AS part, CAST(supp AS BIGINT) AS supp,
@@ -398,7 +410,7 @@ FROM states GROUP BY 1, 2""",
     "daily_summary": f"""WITH {POSITIONS}, {OPS}, {FINAL}
 SELECT (SELECT count(*) FROM states WHERE age = 1 AND NOT closed) AS positions_open,
   (SELECT count(*) FROM states WHERE age = 1 AND closed) AS positions_closed,
-  (SELECT count(*) FROM final WHERE last_type <> 'OrderCanceled' AND NOT (qty_filled > 0 AND qty_filled >= qty_total)) AS orders_open,
+  (SELECT count(*) FROM final WHERE last_type <> 'OrderCanceled' AND NOT (filled > 0 AND filled >= total)) AS orders_open,
   (SELECT count(DISTINCT stream_key) FROM ops) AS streams_seen""",
     "periodic_snapshot": f"""WITH {POSITIONS},
 ticks AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31',

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapewright.functions.values import NOTIONAL, QUANTITY
 
 TRANSIENT_AND_OTHER_STATES = (
     "PRE_INITIALIZED",
@@ -96,9 +95,9 @@ def _seq(phase: int, ts: str, line: Column, part: Column, supp: Column) -> Colum
     )
 
 
-def order_block() -> Column:
-    """Blocks for scans along the ``seq`` of order events: one per phase, day and line."""
-    return F.struct("seq.phase", "seq.happened", "seq.line")
+def is_wide(key: Column) -> Column:
+    """Some orders have quantities of very different size: their lines count in 10^24, 10^18 and 10^-11."""
+    return key % 40 == 3
 
 
 def initialized(orders: DataFrame) -> DataFrame:
@@ -113,13 +112,16 @@ def initialized(orders: DataFrame) -> DataFrame:
         order_buy_sell(key).alias("order_side"),
         priority_type(F.col("o_orderpriority")).alias("order_type"),
         priority_tif(F.col("o_orderpriority")).alias("time_in_force"),
-        (20 + (key % 10) * 20).cast(QUANTITY).alias("quantity"),
+        F.when(is_wide(key), F.concat(_text(2 + key % 10 * 2), F.lit("e24"))).otherwise(_text(20 + (key % 10) * 20)).alias("quantity"),
     )
 
 
 def filled(lineitem: DataFrame) -> DataFrame:
     key = F.col("l_orderkey")
-    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
+    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).cast("decimal(26,8)")
+    line, whole = F.col("l_linenumber"), _text(F.col("l_quantity").cast("decimal(26,8)"))
+    power = F.when(line == 1, "e24").when(line == 2, "e18").when(line == 3, "e-11").otherwise("")
+    tiny = is_wide(key) & (line == 3)
     return lineitem.select(
         order_id(key).alias("client_order_id"),
         _seq(1, "l_shipdate", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("seq"),
@@ -128,8 +130,8 @@ def filled(lineitem: DataFrame) -> DataFrame:
         order_strategy(key).alias("strategy_id"),
         order_instrument(key).alias("instrument_id"),
         order_buy_sell(key).alias("order_side"),
-        F.col("l_quantity").cast(QUANTITY).alias("last_qty"),
-        price.cast(QUANTITY).alias("last_px"),
+        F.when(is_wide(key), F.concat(whole, power)).otherwise(whole).alias("last_qty"),
+        F.when(~tiny, _text(price)).alias("last_px"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("commission"),
     )
 
@@ -190,11 +192,6 @@ def text_seq() -> Column:
     )
 
 
-def text_block() -> Column:
-    """Blocks for scans along :func:`text_seq`: one per phase, day and line."""
-    return F.substring("seq", 1, 20)
-
-
 def live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations log and order log in one."""
     orders = order_log(order_events(spark, sf_dir)).withColumn("seq", text_seq())

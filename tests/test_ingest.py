@@ -1,6 +1,6 @@
 from pyspark.sql import Row, functions as F
 
-from tapewright.functions import values, vocab
+from tapewright.functions import amounts, values, vocab
 from tapewright.operators import gates, ingest, labels
 from tapewright.sources import log as logs
 
@@ -173,7 +173,8 @@ def test_objects_behind_white_space(spark):
 
 def test_exact_quantities(spark):
     texts = ["8186.6", "1_000", "1__0", " 5 ", "1e3", "abc", "", None, "1.0f", "0x1", "nan", "inf"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(values.safe_quantity("t").alias("n")).collect()
+    df = amounts.with_amounts(spark.createDataFrame([(t,) for t in texts], "t string"), {"a": "t"})
+    got = df.select(amounts.to_text("a").alias("n")).collect()
     assert [None if r.n is None else float(r.n) for r in got] == [8186.6, 1000.0, None, 5.0, 1000.0] + [None] * 7
 
 

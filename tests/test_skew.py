@@ -34,9 +34,10 @@ def fold(rows, exclusive=False, reverse=False):
 
 
 @pytest.mark.parametrize("hot_rows", [5, 60, 10**9])
+@pytest.mark.parametrize("block", [None, "seq div 7"])
 @pytest.mark.parametrize("exclusive", [False, True])
 @pytest.mark.parametrize("reverse", [False, True])
-def test_running_equals_fold(spark, rows, hot_rows, exclusive, reverse):
+def test_running_equals_fold(spark, rows, hot_rows, block, exclusive, reverse):
     df = spark.createDataFrame(rows, "k string, seq long, v int")
     v = F.col("v")
     got = running(
@@ -44,7 +45,7 @@ def test_running_equals_fold(spark, rows, hot_rows, exclusive, reverse):
         ["k"],
         ["seq"],
         {n: Track(k, v) for n, k in [("s", "sum"), ("n", "count"), ("f", "first"), ("l", "last"), ("m", "max")]},
-        block=F.expr("seq div 7"),
+        block=None if block is None else F.expr(block),
         exclusive=exclusive,
         reverse=reverse,
         hot_rows=hot_rows,
@@ -82,10 +83,25 @@ def test_null_key_is_hot_like_any(spark):
     df = spark.range(3000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("seq"))
     got = running(df, ["k"], ["seq"], {"n": Track("count", F.lit(1))}, block=F.expr("seq div 100"), hot_rows=10)
     assert got.where("n <> seq + 1").count() == 0 and got.count() == 3000
-    blocks = mark_blocks(df, ["k"], F.expr("seq div 100"), 10).groupBy("k", "_block").count()
+    blocks = mark_blocks(df, ["k"], ["seq"], 10, F.expr("seq div 100")).groupBy("k", "_block").count()
     assert blocks.agg(F.max("count")).first()[0] == 100
 
 
+def test_blocks_of_one_day_have_equal_depth(spark):
+    """All rows of one key on one day, most of them within one hour: eight blocks, the largest at most twice the mean."""
+    seconds = F.when(F.col("id") % 10 == 0, F.col("id") % 86400).otherwise(36000 + F.col("id") % 3600)
+    day = F.lit("2024-01-01").cast("timestamp")
+    df = spark.range(80_000).select(F.lit("one").alias("k"), F.timestamp_seconds(F.unix_seconds(day) + seconds).alias("ts"), F.col("id").alias("seq"))
+    df = df.unionByName(spark.range(50).select(F.lit("few").alias("k"), day.alias("ts"), F.col("id").alias("seq")))
+    marked = mark_blocks(df, ["k"], ["ts", "seq"], 10_000)
+    sizes = [r["count"] for r in marked.where("k = 'one'").groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 80_000 / 8 and min(sizes) > 0
+    assert marked.where("k = 'few' and _block is not null").isEmpty()
+    ends = marked.where("k = 'one'").groupBy("_block").agg(F.min(F.struct("ts", "seq")).alias("a"), F.max(F.struct("ts", "seq")).alias("b"))
+    line = sorted((r._block, r.a, r.b) for r in ends.collect())
+    assert all(x[2] < y[1] for x, y in zip(line, line[1:]))
+
+
 def test_top_per_key(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id").repartition(6)
     got = top_per_key(df, ["k"], [F.desc("id")], 4, rank="r", salts=3).collect()

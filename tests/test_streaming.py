@@ -1,15 +1,10 @@
 import json
 from datetime import datetime, timedelta
-from decimal import Decimal
 
-import numpy as np
-import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from tapewright.schema import EVENT_LOG
 from tapewright.sources import log as logs
-from tapewright.streaming.fold import fold_order
 from tapewright.streaming.live import start_live
 from tapewright.streaming.replies import match_replies_stream
 from tapewright.streaming.snapshots import start_snapshots
@@ -71,43 +66,6 @@ def test_live_pipeline_over_restarts(spark, tmp_path):
     assert [r.seq for r in late] == [2]
 
 
-class State:
-    """What a grouped stream keeps of one key between its micro-batches."""
-
-    def __init__(self):
-        self.exists, self.get, self.expires, self.hasTimedOut = False, None, None, False
-
-    def update(self, value):
-        self.exists, self.get, self.expires = True, value, None
-
-    def setTimeoutDuration(self, ms):
-        self.expires = ms
-
-    def remove(self):
-        self.exists = False
-
-
-@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 3, 4, 5]])
-def test_late_rows_after_completion_and_open_orders(cuts):
-    events = [(1, "OrderInitialized", "10", None), (4, "OrderFilled", None, "4"), (10, "OrderFilled", None, "6"), (5, "OrderFilled", None, "3"), (11, "OrderFilled", None, "1"), (12, "OrderInitialized", "7", None)]
-    number = lambda v: None if v is None else Decimal(v)
-    rows = pd.DataFrame(
-        [(t, s, None, None, None, number(q), number(f), None) for s, t, q, f in events],
-        columns=["type", "seq", "order_side", "order_type", "time_in_force", "quantity", "last_qty", "last_px"],
-        dtype=object,
-    )
-    state, got = State(), []
-    # Within a micro-batch rows are sorted: a late row is late only where it comes in a later one, so it is sent last.
-    for part in np.split(np.arange(len(rows)), cuts):
-        for frame in fold_order(("o",), iter([rows.iloc[part]]), state):
-            got += [(r.seq, r.qty_total, r.qty_filled, r.is_late) for r in frame.itertuples()]
-    assert state.exists and state.expires is None  # an open order does not expire
-    last = dict((g[0], g[1:]) for g in got)
-    assert last[10] == ((Decimal(10), Decimal(10), False) if cuts else (Decimal(10), Decimal(13), False))
-    if cuts:
-        assert last[5][2] is True and last[11][:2] == (None, Decimal(1))
-
-
 def test_replies_stream(spark, tmp_path):
     path, schema = str(tmp_path), "topic string, strategy_id string, seq long, ts timestamp"
 
