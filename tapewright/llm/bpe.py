@@ -87,6 +87,7 @@ class Vocabulary:
         for t in list(self.walk):
             for k in range(1, len(t)):
                 self.walk.setdefault(t[:k], -1)
+        self.longest = max(map(len, self.ends))
         self.sound = self._sound()
 
     def _sound(self) -> np.ndarray:
@@ -128,9 +129,9 @@ class Vocabulary:
 
     def propose(self, piece: str) -> list[int]:
         """Greedy longest matches over a piece of byte symbols; its last symbol carries the word end."""
-        out, at, size, walk, ends = [], 0, len(piece), self.walk, self.ends
+        out, at, size, walk, ends, longest = [], 0, len(piece), self.walk, self.ends, self.longest
         while True:
-            rest = ends.get(piece[at:])
+            rest = ends.get(piece[at:]) if size - at <= longest else None
             if rest is not None:
                 out.append(rest)
                 return out
@@ -214,6 +215,12 @@ class Vocabulary:
         ]
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process: its vocabulary and the chunks it remembers serve task after task."""
+    return Encoder(Vocabulary(path))
+
+
 class Encoder:
     """Encodes texts; remembers what chunks become, up to a bound."""
 
@@ -260,9 +267,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in sized(batches):
-            encoder = encoder or Encoder(Vocabulary(path))
+            encoder = encoder_of(path)
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             counts = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=counts[1:])
