@@ -394,7 +394,9 @@ def daily_summary(spark, d):
 @query
 def periodic_snapshot(spark, d):
     states = tables.position_states(spark, d)
-    df = reports.periodic_snapshots(states, "1995-01-01", "2001-12-31", SNAPSHOT_EVERY_MINUTES)
+    day = F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")
+    first, last = states.agg(*[d.cast("string") for d in day]).first()
+    df = reports.periodic_snapshots(states, first, last, SNAPSHOT_EVERY_MINUTES)
     return longs(df.select("snapshot_ts", "position_id", "type", "side", "quantity"), "quantity")
 
 

@@ -333,7 +333,7 @@ SELECT client_order_id, total AS qty_total, filled AS qty_filled, {_double("qty_
 SELECT client_order_id, order_type || ' ' || tif || CASE WHEN k % 3 = 0 THEN ' post_only' ELSE '' END
   || CASE WHEN k % 4 = 0 THEN ' reduce_only' ELSE '' END AS instruction FROM sheet""",
     "option_prices": f"""WITH {SHEET}
-SELECT client_order_id, CASE WHEN k % 7 = 0 OR priority = '2-HIGH' THEN price_text END AS limit_price,
+SELECT client_order_id, CASE WHEN k % 7 = 2 THEN '0' WHEN k % 7 = 0 OR priority = '2-HIGH' THEN price_text END AS limit_price,
   CASE WHEN priority = '3-MEDIUM' THEN price_text END AS trigger_price,
   CASE WHEN priority = '3-MEDIUM' THEN 'LAST_PRICE' END AS trigger_type FROM sheet""",
     "rejections": f"""WITH {SHEET}
@@ -413,8 +413,8 @@ SELECT (SELECT count(*) FROM states WHERE age = 1 AND NOT closed) AS positions_o
   (SELECT count(*) FROM final WHERE last_type <> 'OrderCanceled' AND NOT (filled > 0 AND filled >= total)) AS orders_open,
   (SELECT count(DISTINCT stream_key) FROM ops) AS streams_seen""",
     "periodic_snapshot": f"""WITH {POSITIONS},
-ticks AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31',
-  INTERVAL {catalog.SNAPSHOT_EVERY_MINUTES} MINUTE)) AS snapshot_ts)
+span AS (SELECT CAST(date_trunc('day', min(happened)) AS TIMESTAMP) AS a, date_trunc('day', max(happened)) + INTERVAL 1 DAY AS b FROM states),
+ticks AS (SELECT unnest(generate_series(a, CAST(b AS TIMESTAMP), INTERVAL {catalog.SNAPSHOT_EVERY_MINUTES} MINUTE)) AS snapshot_ts FROM span)
 SELECT snapshot_ts, position_id, type, side, quantity FROM ticks JOIN states ON happened <= snapshot_ts
 QUALIFY row_number() OVER (PARTITION BY snapshot_ts, position_id ORDER BY happened DESC, k DESC) = 1 AND NOT closed""",
     "balance_totals": """WITH entries AS (
