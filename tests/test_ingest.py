@@ -193,3 +193,17 @@ def test_fields_in_one_parse(spark):
     assert [(r.type, r.quantity, r.strategy_id) for r in got] == [
         ("A", "5", "S"), ("7", None, None), ("B", None, None), *[(None, None, None)] * 4,
     ]
+
+
+def test_one_value_takes_the_whole_payload(spark):
+    """Text behind an object, a second value or a closed bracket makes a payload raw in both decoders."""
+    good = ['{"type":"A"}', ' {"type":"A"} \n', '{"type":"A","x":"] [ } {"}']
+    bad = ['{"type":"A"} trailing', '{"type":"A"}{"type":"B"}', '{"type":"A"},{"type":"B"}', '{"type":"A"}] [1', '{"type":"A"}]', '{"type":"A"']
+    log = log_of(spark, [("t", p) for p in good + bad])
+    fields = sorted(ingest.object_fields(log, ["type"]).collect(), key=lambda r: r.seq)
+    assert [r.type for r in fields] == ["A"] * len(good) + [None] * len(bad)
+    decoded = sorted(ingest.decode(log).select("seq", "decode_status", ingest.field("$.type").alias("type")).collect(), key=lambda r: r.seq)
+    assert [(r.decode_status, r.type) for r in decoded] == [("json", "A")] * len(good) + [("raw", None)] * len(bad)
+    texts = log_of(spark, [("t", p) for p in ("null", "7", '"x"', "[1, 2]", "", "1, 2", "1] [2")])
+    states = [r.decode_status for r in sorted(ingest.decode(texts).select("seq", "decode_status").collect(), key=lambda r: r.seq)]
+    assert states == ["json"] * 4 + ["raw"] * 3
