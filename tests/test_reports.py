@@ -80,7 +80,7 @@ def test_orders_report(spark):
             ("O4", 0, "OrderInitialized", "1", None), ("O5", 0, "OrderRejected", None, None)]
     df = spark.createDataFrame(rows, "client_order_id string, seq long, type string, quantity string, last_qty string")
     blanks = {c: F.lit(None).cast("string") for c in ("last_px", "order_side", "order_type", "time_in_force", "strategy_id", "instrument_id")}
-    df = orders.exact_quantities(df.withColumns(blanks)).withColumn("ts", F.lit(T0).cast("timestamp_ntz"))
+    df = orders.readable_numbers(df.withColumns(blanks)).withColumn("ts", F.lit(T0).cast("timestamp_ntz"))
     got = {r.client_order_id: r.status for r in reports.orders_report(df).collect()}
     assert got == {"O1": "FILLED", "O2": "PARTIALLY_FILLED", "O3": "CANCELED", "O4": "ACCEPTED", "O5": "REJECTED"}
     log = spark.createDataFrame([("a", T0), ("b", T0)], "stream_key string, ts timestamp_ntz")
