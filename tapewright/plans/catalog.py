@@ -326,6 +326,19 @@ def route_events(spark, d):
     return reg.route(events, registry).select("seq", "topic", "strategy_id", "handle", "channel")
 
 
+@query
+def registry_intervals(spark, d):
+    return reg.registry_intervals(tables.announces(spark, d))
+
+
+@query
+def route_events_asof(spark, d):
+    """Each event by the mode its strategy had announced by then."""
+    events = ingest.envelope(ingest.forwarded_topics(tables.ops_log(spark, d)))
+    routed = reg.route_asof(events, tables.announces(spark, d))
+    return routed.select("seq", "topic", "strategy_id", "handle", "channel")
+
+
 @query
 def channel_targets(spark, d):
     registry = reg.latest_registry(tables.announces(spark, d))

@@ -372,6 +372,18 @@ SELECT strategy_id, coalesce(arg_max(h, length(h)), strategy_id) AS handle, arg_
 FROM ids LEFT JOIN reg ON strategy_id = h OR ends_with(strategy_id, '-' || h) GROUP BY strategy_id""",
     "route_events": f"""WITH {OPS_ANNOUNCES}, {ROUTED_OPS.format(source="forwarded")}
 SELECT seq, topic, strategy_id, handle, channel FROM routed""",
+    "registry_intervals": f"""WITH {ANNOUNCES},
+told AS (
+  SELECT strategy_id, mode, seq, lag(mode) OVER (PARTITION BY strategy_id ORDER BY seq) AS earlier
+  FROM announces WHERE strategy_id IS NOT NULL AND mode IS NOT NULL)
+SELECT strategy_id, mode, seq AS from_seq, lead(seq) OVER (PARTITION BY strategy_id ORDER BY seq) AS to_seq
+FROM told WHERE mode IS DISTINCT FROM earlier""",
+    "route_events_asof": f"""WITH {OPS_ANNOUNCES},
+told AS (SELECT strategy_id, mode, seq FROM announces WHERE strategy_id IS NOT NULL AND mode IS NOT NULL)
+SELECT e.seq, e.topic, e.strategy_id, coalesce(r.strategy_id, e.strategy_id) AS handle,
+  CASE WHEN e.topic LIKE 'ops.%' OR e.strategy_id IS NULL THEN 'logging'
+       WHEN r.mode = 'live' THEN 'live' ELSE 'sandbox' END AS channel
+FROM forwarded e ASOF LEFT JOIN told r ON e.strategy_id = 'Cls-' || r.strategy_id AND e.seq >= r.seq""",
     "channel_targets": f"""WITH {ANNOUNCES}
 SELECT mode AS channel, strategy_id FROM registry WHERE mode IN ('live', 'sandbox')
 UNION ALL SELECT 'logging', strategy_id FROM registry""",
