@@ -27,26 +27,84 @@ BLOCKS = set(
     "address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul br".split()
 )
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "noframes", "xmp", "title", "svg", "math", "object")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "noframes", "xmp", "title", "svg", "object")
 ASIDE = set("nav footer aside form header head button select menu dialog fieldset label input option datalist optgroup".split())
 ENDS_ITSELF = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-#: Words in class, id or role that mark what is not the article.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|"
-    r"breadcrumb|breadcrumbs|sidebar|side|aside|complementary|footer|contentinfo|header|masthead|cookie|cookies|consent|gdpr|notice|notices|popup|modal|"
-    r"overlay|alert|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|comment|comments|respond|reply|replies|"
-    r"disqus|pager|pagination|widget|toolbar|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-]|\d)",
-    re.I,
+#: Parts of a class, id or role that mark what is not the article.
+ASIDE_NAMES = set(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb "
+    "breadcrumbs sidebar side aside complementary footer contentinfo header masthead cookie cookies consent gdpr notice notices popup modal overlay "
+    "alert newsletter subscribe subscription signup login search share sharing social related recommended comment comments respond reply replies "
+    "disqus pager pagination widget toolbar copyright legal disclaimer hidden skip".split()
 )
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main)(?:$|[\s_-])", re.I)
-
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+CONTENT_NAMES = set("article articlebody post entry story content main".split())
+#: Parts of names after which stands what a box has, lacks or shows, not what it is.
+ABOUT = set("has no with without is not non had show hide".split())
+#: Names of boxes that hold a whole page.
+FRAMES = set("layout wrapper wrap container page site grid row col column columns inner outer".split())
+READERS = set("comment comments respond reply replies disqus".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+# A quote holds a value only behind an equals sign; anywhere else it is a character like any.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*'|)|["'])*+)(?:>|\Z)""",
+    re.S,
+)
+ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+INVISIBLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; of repeated names the first counts, a name without a value has an empty one."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTES.findall(text):
+        found.setdefault(name.lower(), references.unescape(double or single or bare))
+    return found
+
+
+def _names(value: str) -> list[list[str]]:
+    """Class tokens in lower case, each in its parts up to a word such as ``has`` or ``no``, parts up to their first digit."""
+    found = []
+    for token in value.lower().split():
+        parts = []
+        for part in re.split(r"[_-]+", token):
+            part = re.split(r"\d", part, maxsplit=1)[0]
+            if part in ABOUT:
+                break
+            if part:
+                parts.append(part)
+        if parts:
+            found.append(parts)
+    return found
+
+
+def declares(tag: str, of: dict[str, str], article: bool) -> tuple[bool, bool]:
+    """Whether a tag's attributes name an article, and whether they name something apart from it.
+
+    Tokens of class, role, id and label are judged one by one. A token that is an aside name sets the box apart. One that
+    holds such a name among other parts (``right-sidebar``) does so unless another token names the article or the frame
+    of a page. Inside an article ``header`` is not apart, a label says nothing, and the id of a heading or section is an
+    anchor of the text, unless it is an aside name or ends with a name of reader comments.
+    """
+    if "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or INVISIBLE.search(of.get("style", "")):
+        return False, True
+    names, ids = _names(of.get("class", "") + " " + of.get("role", "")), _names(of.get("id", ""))
+    content = any(not CONTENT_NAMES.isdisjoint(parts) and ASIDE_NAMES.isdisjoint(parts) for parts in names + ids)
+    framed = any(len(parts) == 1 and parts[0] in FRAMES for parts in names + ids)
+    if tag in HEADINGS:
+        ids = []
+    elif article and tag == "section":
+        ids = [parts for parts in ids if len(parts) == 1 or parts[-1] in READERS]
+    if not article and tag in BLOCKS and tag not in HEADINGS:
+        ids = ids + _names(of.get("aria-label", ""))
+    apart = ASIDE_NAMES - {"header"} if article or tag in HEADINGS else ASIDE_NAMES
+    marked = [parts for parts in names + ids if not apart.isdisjoint(parts)]
+    return content, any(len(parts) == 1 for parts in marked) or bool(marked) and not (content or framed)
+
+
 @dataclass
 class Block:
     text: str
@@ -74,9 +132,12 @@ def blocks(page: str) -> list[Block]:
 
     def leave(depth: int) -> None:
         nonlocal article, aside
-        close_block()
+        state = (stack[depth - 1][1], stack[depth - 1][2]) if depth else (False, False)
+        # The end of a link or of bold words is inside a block.
+        if state != (article, aside) or any(n in BLOCKS for n, _, _ in stack[depth:]):
+            close_block()
         del stack[depth:]
-        article, aside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        article, aside = state
 
     at, end = 0, len(page)
     while at < end:
@@ -113,17 +174,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        marks = " ".join(a or b or c for a, b, c in NAMES.findall(m[3])) if m[3] else ""
+        content, named = declares(name, attributes(m[3]), article) if m[3] else (False, False)
         was = aside
-        if name in ("article", "main"):
-            inside = True
-        else:
-            inside = article or bool(marks and not ASIDE_NAMES.search(marks) and CONTENT_NAMES.search(marks) and name in ("div", "section"))
+        inside = article or name in ("article", "main") or content and name in ("div", "section")
         # A page's header is not the article; an article's own header is part of it.
         apart = name in ASIDE and not (name == "header" and article)
-        if not apart and marks and name not in ("html", "body", "article", "main"):
-            apart = bool(ASIDE_NAMES.search(marks))
-        apart = apart or bool(m[3]) and bool(HIDDEN.search(m[3]))
+        if name not in ("html", "body", "article", "main"):
+            apart = apart or named
         if name in BLOCKS or apart != was or inside != article:
             close_block()
         aside = aside or apart

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -182,6 +183,39 @@ def test_repeats_inside_declared_articles(spark):
     assert all(own_words(i, 60) in got[5 + i] for i in range(3))
 
 
+BODY = "<p>" + "Rain fell on the hills. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        (f'<div class="layout has-sidebar">{BODY}</div>', ["Rain"]),
+        (f'<div class="entry-content no-sidebar">{BODY}</div>', ["Rain"]),
+        (f'<div class="content-with-sidebar">{BODY}</div>', ["Rain"]),
+        (f'<div title="The hidden valley">{BODY}</div>', ["Rain"]),
+        (f'<div class="layout right-sidebar">{BODY}</div><div class="right-sidebar">Links</div>', ["Rain"]),
+        (f'<article>{BODY}<section id="search-results">Finds</section></article>', ["Rain", "Finds"]),
+        (f'<article>{BODY}<section id="comments">Nice</section><div class="reader-comments">Nice</div></article>', ["Rain"]),
+        (f'<article><h2 class="post-header">Weather</h2>{BODY}</article>', ["Weather", "Rain"]),
+        ("<article><p>so <math><mi>x</mi></math> equals y</p></article>", ["so x equals y"]),
+        ("<article><p title=it's>Rain <a href=x'y\">fell</a></p></article>", ["Rain fell"]),
+        ('<p>one <b>two</b> three <a href="#">four</a>, five<br>six</p>', ["one two three four, five", "six"]),
+        ('<p>seen <span hidden>unseen</span> seen</p><div style="color: red; display:none">unseen</div>', ["seen", "seen"]),
+        ('<div class="post comments">Nice</div><div class="row footer">Foot</div><div class="ad300x250">Buy</div><p>Rain</p>', ["Rain"]),
+    ],
+)
+def test_names_of_boxes_are_whole_tokens(page, kept):
+    got = [b.text for b in html.main_text(html.blocks(page), [])]
+    assert len(got) == len(kept) and all(g == k or k == "Rain" and g.startswith("Rain") for g, k in zip(got, kept))
+
+
+def test_any_markup_ends_in_linear_time():
+    for page in ("<a " + "='" * 20000 + "<b>x" * 2000, "<x " + "= " * 50000, "<" * 100000, "<p title='" * 20000, '<a b="c" ' * 30000):
+        start = time.monotonic()
+        html.blocks(page)
+        assert time.monotonic() - start < 5
+
+
 @pytest.mark.parametrize("frequent", [html.FREQUENT, 1])
 def test_boilerplate_of_short_pages_and_long_tokens(spark, frequent):
     note = "<div>this site uses many small things to make your day a bit better</div>"
