@@ -550,3 +550,26 @@ def test_pipeline_stages_against_plain_versions(spark, docs, corpus, tmp_path, l
     assert {r.doc_id for r in cut} - {r.doc_id for r in clean} == {300} & {r.doc_id for r in cut}
     lengths = sorted((str(r.doc_id), len(library.encode(r.text, add_special_tokens=False).ids)) for r in clean)
     assert sorted((str(r.doc_id), r.n_tokens) for r in tokens) == lengths
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Columns named like those that the operators add come out as they went in; empty tables stay empty."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    pool = [f"w{k}" for k in range(400)]
+    passage = words(rng, 40, pool)
+    rows = [(i, f"{words(rng, 60, pool)} {passage}", "en", "s", 9, 10 + i, f"k{i}", f"d{i}", [i], "own") for i in range(12)]
+    rows += [(None, None, None, None, None, 0, "kn", None, None, None), (90, "", "", "", 0, 1, "ke", "de", [], "own")]
+    docs = spark.createDataFrame(rows, f"{DOCS}, Score int, kept string, digest string, spans array<int>, predicted string")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "how many of the seven red boats sail past the old tower")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = {r.doc_id: (r.Score, r.kept, r.digest, r.spans, r.predicted) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all((r.Score, r.kept, r.digest, r.spans, r.predicted) == own[r.doc_id] for r in got), name
+        if name == "long_repeats":
+            assert sum(passage in (r.text or "") for r in got) == 1 and all(r.n_chars == len(r.text) for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
