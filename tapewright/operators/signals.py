@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tapewright.functions import values, vocab
 from tapewright.operators.asof import asof_join
+from tapewright.operators.frames import moving_quantile
 from tapewright.operators.skew import HOT_ROWS, Track, running
 
 INSTRUMENT = ["instrument_id"]
@@ -98,8 +98,8 @@ def threshold_grid(
     """Change over ``delta_bars`` bars, its rolling percentile, and whether the change reaches it.
 
     The threshold is unknown until the last ``threshold_bars`` changes are all there; NaN counts as missing. An
-    instrument's bars are cut into blocks, each with the frame before it, and the rolling quantile of pandas, which
-    keeps a frame sorted, runs over each.
+    instrument's bars are cut into blocks, each with the frame before it. A task takes its blocks in order, in Arrow
+    batches, and answers all frames of a batch at once (``frames.moving_quantile``).
     """
     w = W.partitionBy(*INSTRUMENT).orderBy("hour")
     deltas = bars.withColumn("oi_delta", F.col("value") - F.lag("value", delta_bars).over(w))
@@ -110,14 +110,14 @@ def threshold_grid(
     blocks = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
     dealt = deltas.withColumn("_n", number).select("*", F.explode(blocks).alias("_block"))
 
-    def with_threshold(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("_n")
-        rolling = series["oi_delta"].astype("float64").rolling(threshold_bars, min_periods=threshold_bars)
-        series = series.assign(threshold=rolling.quantile(percentile))
-        return series[series["_n"] // size == key[-1]].drop(columns=["_n", "_block"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in deltas.schema.fields)
-    df = dealt.groupBy(*INSTRUMENT, "_block").applyInPandas(with_threshold, f"{columns}, threshold double")
+    keys = [*INSTRUMENT, "_block"]
+    lined = dealt.repartition(*keys).sortWithinPartitions(*keys, "_n")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lined.schema.fields)
+    found = lined.mapInArrow(
+        lambda batches: moving_quantile(batches, keys, "oi_delta", threshold_bars, percentile), f"{columns}, threshold double"
+    )
+    # A block's frame of earlier rows belongs to the block before.
+    df = found.where(F.floor(F.col("_n") / size) == F.col("_block")).drop("_n", "_block")
     return df.withColumn("armed", armed("oi_delta", "threshold"))
 
 
