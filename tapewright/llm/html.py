@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as references
 import re
@@ -81,6 +82,11 @@ def _names(value: str) -> list[list[str]]:
     return found
 
 
+@functools.lru_cache(maxsize=20_000)
+def _declares_known(tag: str, text: str, article: bool) -> tuple[bool, bool]:
+    return declares(tag, attributes(text), article)
+
+
 def declares(tag: str, of: dict[str, str], article: bool) -> tuple[bool, bool]:
     """Whether a tag's attributes name an article, and whether they name something apart from it.
 
@@ -174,7 +180,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        content, named = declares(name, attributes(m[3]), article) if m[3] else (False, False)
+        # Pages of a site repeat their tags; long attributes, such as addresses of pictures, are not remembered.
+        known = _declares_known(name, m[3], article) if len(m[3]) <= 100 else declares(name, attributes(m[3]), article)
+        content, named = known
         was = aside
         inside = article or name in ("article", "main") or content and name in ("div", "section")
         # A page's header is not the article; an article's own header is part of it.
