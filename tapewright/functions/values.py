@@ -115,7 +115,9 @@ def spread_bps(bid: Column | str, ask: Column | str) -> Column:
     # Operand types that leave the quotient more digits than are kept.
     twice = (spread * F.lit(20000)).try_cast("decimal(22,10)")
     bps = F.try_divide(twice, (ask + bid).try_cast("decimal(20,10)")).try_cast("decimal(20,10)")
-    return F.when(spread > 0, bps)
+    # Prices beyond these types: to the digits of a double.
+    rough = F.try_divide(spread.cast("double") * 20000, ask.cast("double") + bid.cast("double")).try_cast("decimal(20,10)")
+    return F.when(spread > 0, F.coalesce(bps, rough))
 
 
 def floor_hour(ts: Column | str) -> Column:
