@@ -24,7 +24,9 @@ from tapewright.operators import (
 from tapewright.plans import forwarding
 from tapewright.session import run_dir, tune
 from tapewright.sources import log as logs, tables
+from tapewright.streaming.history import start_history
 from tapewright.streaming.live import start_live
+from tapewright.streaming.waiting import start_replies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -404,11 +406,15 @@ def daily_summary(spark, d):
     )
 
 
+def _whole_days(states: DataFrame) -> tuple[str, str]:
+    day = F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")
+    return tuple(states.agg(*[d.cast("string") for d in day]).first())
+
+
 @query
 def periodic_snapshot(spark, d):
     states = tables.position_states(spark, d)
-    day = F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")
-    first, last = states.agg(*[d.cast("string") for d in day]).first()
+    first, last = _whole_days(states)
     df = reports.periodic_snapshots(states, first, last, SNAPSHOT_EVERY_MINUTES)
     return longs(df.select("snapshot_ts", "position_id", "type", "side", "quantity"), "quantity")
 
@@ -522,3 +528,30 @@ def live_forwarding(spark, d):
         ),
         "fill_count",
     )
+
+
+@query
+def live_replies(spark, d):
+    """``report_reply_match`` as a stream: settled matches and those that later rows could change."""
+    path = run_dir(spark, "replies")
+    sides = {"asked": tables.report_requests(spark, d), "came": tables.report_replies(spark, d)}
+    for name, side in sides.items():
+        side.write.parquet(f"{path}/{name}")
+    asked, came = (spark.readStream.schema(side.schema).parquet(f"{path}/{name}") for name, side in sides.items())
+    running, waiting = start_replies(asked, came, f"{path}/out", seconds=REPLY_WINDOW_SECONDS, available_now=True)
+    running.awaitTermination()
+    return waiting.so_far().drop("settled")
+
+
+@query
+def live_snapshots(spark, d):
+    """``periodic_snapshot`` from the history that a stream of position events leaves behind."""
+    path = run_dir(spark, "history")
+    states = tables.position_states(spark, d)
+    states.write.parquet(f"{path}/events")
+    first, last = _whole_days(states)
+    events = spark.readStream.schema(states.schema).parquet(f"{path}/events")
+    running, history = start_history(events, f"{path}/out", minutes=SNAPSHOT_EVERY_MINUTES, origin=first, available_now=True)
+    running.awaitTermination()
+    df = history.snapshots(first, last)
+    return longs(df.select("snapshot_ts", "position_id", "type", "side", "quantity"), "quantity")

@@ -498,3 +498,7 @@ live AS (SELECT instrument_id, date_trunc('hour', ts) AS ts, arg_max(value, ts)
 SELECT a.instrument_id, CAST(sum(CAST(a.armed <> b.armed AS INTEGER)) AS BIGINT) AS flips, count(*) AS hours
 FROM grid_a a JOIN grid_b b ON a.instrument_id = b.instrument_id AND a.hour = b.hour GROUP BY 1""",
 }
+
+# Streams give what their batch forms give.
+ORACLES["live_replies"] = ORACLES["report_reply_match"]
+ORACLES["live_snapshots"] = ORACLES["periodic_snapshot"]
