@@ -60,15 +60,47 @@ def curve(spark, dims: int, bits: int = BITS) -> DataFrame:
     return frame.select("cell", place.cast("int").alias("place"))
 
 
-def _step(column: str, kind: T.DataType, cuts: list | None, bits: int) -> Column:
-    """Step of a value: numbers by the cut points, other values by hash; null is step 0."""
-    top = (1 << bits) - 1
-    if isinstance(kind, T.NumericType):
-        step = F.lit(0)
-        for cut in cuts or []:
-            step = step + F.when(F.col(column).cast("double") >= cut, 1).otherwise(0)
-        return F.when(F.col(column).isNull(), 0).otherwise(step)
-    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(top + 1)).cast("int"))
+def _ordered(column: str, kind: T.DataType) -> Column:
+    """A dimension's values in their order: numbers as doubles, all others as text."""
+    return F.col(column).cast("double" if isinstance(kind, T.NumericType) else "string")
+
+
+def _ranges(frame: DataFrame, n: Column) -> tuple[DataFrame, DataFrame]:
+    """Of a frame that is sorted across its partitions: its rows with ``_hc_range``, and each range's ``_hc_start``, the sum
+    of ``n`` before it, and ``_hc_total``. The second one has a row for each partition, whatever the data."""
+    ranked = frame.withColumn("_hc_id", F.monotonically_increasing_id()).withColumn("_hc_range", F.shiftright("_hc_id", 33))
+    sizes = ranked.groupBy("_hc_range").agg(n.alias("n"))
+    before = W.orderBy("_hc_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_hc_range",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_hc_start"),
+        F.sum("n").over(W.partitionBy()).alias("_hc_total"),
+    )
+    return ranked, starts
+
+
+def cut_values(rows: DataFrame, value: Column, steps: int) -> list[tuple]:
+    """Values that cut a column into ``steps`` runs of about equal numbers of rows, by exact ranks: the first value of each
+    step but the first, with its step, so at most ``steps - 1`` pairs.
+
+    Equal values are counted first, so a frequent one costs one row. Values and counts are sorted by ranges, no task or window
+    holds more than a range of distinct values. Nulls are left out; a value that holds several shares leaves the steps behind it empty.
+    """
+    counted = rows.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked, starts = _ranges(saved(counted.repartitionByRange("v").sortWithinPartitions("v")), F.sum("n"))
+    passed = W.partitionBy("_hc_range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = ranked.withColumn("_hc_in", F.coalesce(F.sum("n").over(passed), F.lit(0))).join(F.broadcast(starts), "_hc_range")
+    step = F.expr(f"((_hc_start + _hc_in) * {steps}L) div _hc_total")
+    firsts = ranked.groupBy(step.alias("step")).agg(F.min("v").alias("v")).filter("step > 0")
+    return [(r.v, r.step) for r in firsts.orderBy("step").collect()]
+
+
+def _step(value: Column, cuts: list[tuple]) -> Column:
+    """Step of a value, that of the last cut it reaches; a null is step 0."""
+    reached = F.lit(0)
+    for cut, step in cuts:
+        reached = F.when(value >= F.lit(cut), F.lit(int(step))).otherwise(reached)
+    return reached
 
 
 def hilbert_shards(
@@ -76,40 +108,26 @@ def hilbert_shards(
 ) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: runs of the Hilbert order whose row counts differ by one at most.
 
-    Numeric dimensions are cut at quantiles of the whole column, others by hash. Rows of one cell stand in the order
-    of ``ties``, so equal texts stand together if a text checksum comes first; a null stands before any value and rows
-    equal in all ties count as interchangeable. No cell is gathered: the order is cut by ranges of cell *and* ties,
+    Every dimension is cut at exact quantiles of its whole column, numbers in their order and other values in that of
+    their text, so a shard covers a part of each one's values and a filter on any of them skips shards (``shard_ranges``). Rows
+    of one cell stand in the order of ``ties``, so equal texts of one cell stand together if a text checksum comes first;
+    those of other metadata may stand elsewhere. A null stands before any value, rows equal in all ties count as
+    interchangeable. No cell is gathered: the order is cut by ranges of cell *and* ties,
     which splits a cell of any size, and written to the shared folder; a row's rank is its place in its range plus
     the sizes of the ranges before. An empty table gives an empty result. ``rows`` keeps its columns; ones named
     ``shard`` or ``slot`` are replaced, and no name may begin with ``_hc_``.
     """
     rows = rows.drop("shard", "slot")
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    numeric = [d for d in dims if isinstance(kinds[d], T.NumericType)]
-    share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = {}
-    if numeric:
-        got = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), share, 10_000).alias(d) for d in numeric]).first()
-        cuts = {d: sorted(set(got[d] or [])) for d in numeric}
+    values = {d: _ordered(d, rows.schema[d].dataType) for d in dims}
     cell = F.lit(0)
     for d in dims:
-        cell = F.shiftleft(cell, bits).bitwiseOR(_step(d, kinds[d], cuts.get(d), bits))
+        cell = F.shiftleft(cell, bits).bitwiseOR(_step(values[d], cut_values(rows, values[d], 1 << bits)))
     places = curve(rows.sparkSession, len(dims), bits).select(F.col("cell").alias("_hc_cell"), F.col("place").alias("_hc_place"))
     placed = rows.withColumn("_hc_cell", cell).join(F.broadcast(places), "_hc_cell").drop("_hc_cell")
     order = ["_hc_place", *ties]
     ranges = saved(placed.repartitionByRange(*order).sortWithinPartitions(*order))
-    row_id = F.monotonically_increasing_id()
-    ranked = ranges.withColumn("_hc_id", row_id).withColumn("_hc_range", F.shiftright("_hc_id", 33)).withColumn(
-        "_hc_row", F.col("_hc_id").bitwiseAND((1 << 33) - 1)
-    )
-    sizes = ranked.groupBy("_hc_range").agg((F.max("_hc_row") + 1).alias("n"))
-    # One row for each range of the sort: as many as partitions, not as rows.
-    before = W.orderBy("_hc_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_hc_range",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_hc_start"),
-        F.sum("n").over(W.partitionBy()).alias("_hc_total"),
-    )
+    ranked, starts = _ranges(ranges, F.count(F.lit(1)))
+    ranked = ranked.withColumn("_hc_row", F.col("_hc_id").bitwiseAND((1 << 33) - 1))
     ranked = ranked.join(F.broadcast(starts), "_hc_range")
     ranked = ranked.withColumn("_hc_rank", F.col("_hc_start") + F.col("_hc_row"))
     ranked = ranked.withColumn("shard", F.expr(f"cast((_hc_rank * {shards}L) div _hc_total as int)"))
@@ -119,9 +137,9 @@ def hilbert_shards(
 
 
 def shard_ranges(sharded: DataFrame, dims: list[str]) -> DataFrame:
-    """Smallest and largest value of each dimension by shard: what a reader prunes files with."""
+    """Smallest and largest value of each dimension by shard, nulls aside: what a reader prunes files with."""
     ends = [f(F.col(d)).alias(f"{n}_{d}") for d in dims for f, n in ((F.min, "min"), (F.max, "max"))]
-    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ends)
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *ends)
 
 
 def op10_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
