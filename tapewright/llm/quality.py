@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,13 @@ def text_view(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _hashed(column: pa.Array) -> np.ndarray:
+    """Each value's hashed place, taken from all its bytes; a null has none."""
     out = np.zeros((len(column), HASHED), np.float32)
-    for i, v in enumerate(column.to_pylist()):
-        h = mixed(np.frombuffer(str(v).encode()[:32].ljust(32, b"\0"), np.uint64)).sum()
-        out[i, int(mixed(np.array([h]))[0] % np.uint64(HASHED))] = 1
+    coded = column.dictionary_encode()
+    places = np.array([crc32(v.encode()) for v in coded.dictionary.to_pylist()], np.uint64)
+    known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    at = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known]
+    out[known, (mixed(places) % np.uint64(HASHED)).astype(np.int64)[at]] = 1
     return out
 
 

@@ -491,6 +491,17 @@ def test_curve_is_a_walk(spark, dims, bits):
     assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(steps, steps[1:]))
 
 
+def test_names_are_hashed_whole():
+    common = "https://www.example.org/a/long/common/beginning/"
+    column = pa.array([common + str(i) for i in range(40)] + [None, "", common + "0"])
+    got = quality._hashed(column)
+    assert len({r.tobytes() for r in got[:40]}) > 20
+    assert not got[40].any() and (got[[*range(40), 41, 42]].sum(axis=1) == 1).all()
+    assert (got[0] == got[42]).all()
+    assert quality._hashed(pa.array([], pa.string())).shape == (0, quality.HASHED)
+    assert not quality._hashed(pa.array([None, None], pa.string())).any()
+
+
 def test_cut_values_are_exact_ranks(spark):
     values = [5] * 300 + list(range(100)) + [None] * 50
     frame = spark.createDataFrame([(v, None if v is None else f"{v:03d}") for v in values], "n int, s string").repartition(5)
