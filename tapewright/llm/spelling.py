@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import mixed, partitions, saved, spread, table
+from tapewright.llm.common import FEW, mixed, partitions, saved, spread, table
 
 GROUPS = 12
 TOP = 4  # levels that are dealt out at first
@@ -349,7 +349,8 @@ def searched(rows: DataFrame, of: np.ndarray, groups: int, depth: int, parts: in
                 part = pa.concat_tables([kept, part])
             yield from found(part, np.arange(part.num_rows) >= seen)
 
-    ordered = rows.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("own"))
+    # Dealt by a hash of the cell: a deal by the cell itself is left out behind a join by it, and the join may then be run in another deal.
+    ordered = rows.repartition(parts, F.xxhash64("cell")).sortWithinPartitions("cell", F.desc("own"))
     return ordered.mapInArrow(run, PAIRS)
 
 
@@ -391,8 +392,8 @@ def near_pairs(words: DataFrame, groups: int = GROUPS, limit: int = LIMIT) -> Da
         step = min(TOP if depth == 0 else MORE, groups - depth)
         rows = saved(dealt(rows, of, groups, depth, step))
         depth += step
-        sizes = rows.filter("own").groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
-        sized = rows.join(sizes, "cell")  # cells without words answer nothing
+        sizes = saved(rows.filter("own").groupBy("cell").agg(F.count(F.lit(1)).alias("held")))
+        sized = rows.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "cell")  # cells without words answer nothing
         found = searched(sized.filter(F.col("held") <= limit).drop("held"), of, groups, depth, parts)
         pairs = found if pairs is None else pairs.union(found)
         large = sizes.filter(F.col("held") > limit)
@@ -411,7 +412,8 @@ def spelling_forms(words: DataFrame, groups: int = GROUPS, limit: int = LIMIT, r
     """
     words = saved(words.select("word", "n"))
     pairs = near_pairs(words, groups, limit)
-    sides = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")).union(pairs.select("b", "a", "a_n"))
+    # Both sides come from one look at the pairs: which word of a pair stands first may differ from one run of the search to the next.
+    sides = pairs.selectExpr("inline(array(struct(a as word, b as other, b_n as other_n), struct(b as word, a as other, a_n as other_n)))")
     best = sides.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other"))).alias("top")
     )

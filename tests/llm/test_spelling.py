@@ -1,5 +1,6 @@
 """Spelling variants against comparison of all pairs."""
 
+import os
 import random
 import re
 import zlib
@@ -109,6 +110,43 @@ def test_questions_beyond_one_search(spark, vocabulary, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_cells_stay_together_behind_a_join(spark, vocabulary, monkeypatch):
+    """Adaptive execution may turn the join with the sizes into a broadcast and read what it dealt by mapper."""
+    want = {(a, b) for a in vocabulary for b in vocabulary if a < b and one_edit(a, b)}
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        words = spark.createDataFrame(list(vocabulary.items()), "word string, n long").repartition(8)
+        for few in (spelling.FEW, 0):
+            monkeypatch.setattr(spelling, "FEW", few)
+            got = [tuple(sorted((r.a, r.b))) for r in spelling.near_pairs(words).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_order_of_a_pair_plays_no_part(spark, vocabulary, monkeypatch):
+    """Rows reach a search in any order, so each run of it may name either word of a pair first."""
+    near_pairs = spelling.near_pairs
+
+    def turned(*args):
+        def run(batches):
+            for batch in batches:
+                turn = np.frombuffer(os.urandom(batch.num_rows), np.uint8) % 2 == 1
+                a, b, a_n, b_n = (np.array(c.to_pylist(), object) for c in batch.columns)
+                swapped = [np.where(turn, y, x).tolist() for x, y in ((a, b), (b, a), (a_n, b_n), (b_n, a_n))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(swapped, batch.schema.types, strict=True)], batch.schema.names)
+
+        return near_pairs(*args).mapInArrow(run, spelling.PAIRS)
+
+    monkeypatch.setattr(spelling, "near_pairs", turned)
+    words = spark.createDataFrame(list(vocabulary.items()), "word string, n long")
+    assert {tuple(r) for r in spelling.spelling_forms(words).collect()} == plain_forms(vocabulary)
+
+
 def test_query_against_the_rules(spark, tmp_path):
     rng = random.Random(2)
     pool = ["".join(rng.choice("AEIOUstrnlé") for _ in range(rng.randrange(5, 12))) for _ in range(60)]
