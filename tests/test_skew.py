@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.operators import skew
 from tapewright.operators.asof import asof_join
 from tapewright.operators.skew import Track, mark_blocks, running, top_per_key
 
@@ -107,3 +108,16 @@ def test_top_per_key(spark):
     got = top_per_key(df, ["k"], [F.desc("id")], 4, rank="r", salts=3).collect()
     assert {(r.k, r.id, r.r) for r in got} == {(i % 3, i, (499 - i) // 3 + 1) for i in range(488, 500)}
     assert {r.id for r in top_per_key(df, [], [F.desc("id")], 4).collect()} == {496, 497, 498, 499}
+
+
+def test_without_hot_keys_rows_are_dealt_once(spark, monkeypatch):
+    rows = [(i % 7 if i % 7 else None, i, i) for i in range(140)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    for buckets in (1 << 16, 1):  # one bucket holds all keys: these are then counted themselves
+        monkeypatch.setattr(skew, "BUCKETS", buckets)
+        assert skew.has_hot(df, ["k"], 19) and not skew.has_hot(df, ["k"], 20)
+    tracks = {"s": skew.Track("sum", F.col("v"))}
+    cool, hot = (skew.running(df, ["k"], ["t"], tracks, hot_rows=n) for n in (20, 19))
+    plan = cool._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, cool.collect()), key=str) == sorted(map(tuple, hot.collect()), key=str)
