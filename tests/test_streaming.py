@@ -1,10 +1,14 @@
 import json
+import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tapewright import session
 from tapewright.schema import EVENT_LOG
 from tapewright.sources import log as logs
+from tapewright.streaming import live
 from tapewright.streaming.live import start_live
 from tapewright.streaming.replies import match_replies_stream
 from tapewright.streaming.snapshots import start_snapshots
@@ -103,3 +107,16 @@ def test_snapshots(spark, tmp_path):
     got = spark.read.parquet(f"{path}/out/snapshots").collect()
     assert {(r.tick, r.position_id) for r in got} == {(0, "A"), (0, "B"), (1, "B"), (1, "C")}
     assert start_snapshots(None, path, enabled=False) is None
+
+
+def test_steps_of_a_batch_are_compact_and_go_with_it(spark, tmp_path, monkeypatch):
+    """The steps hold columns as compressed files, not as the plain rows of a checkpoint; none stays behind the batch."""
+    kept = []
+    monkeypatch.setattr(live, "stored", lambda df, folder: kept.append(folder) or session.stored(df, folder))
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *_: pytest.fail("plain rows are written"))
+    append(spark, f"{tmp_path}/log", [order(1, "OrderInitialized", quantity="2"), order(2, "OrderFilled", last_qty="2", last_px="5")])
+    registry = spark.createDataFrame([("S1", "live")], "strategy_id string, mode string")
+    stream = spark.readStream.schema(EVENT_LOG).parquet(f"{tmp_path}/log")
+    live.start_live(stream, lambda: registry, f"{tmp_path}/out", available_now=True).awaitTermination()
+    assert [r.client_order_id for r in spark.read.parquet(f"{tmp_path}/out/events").collect()] == ["O1"]
+    assert len(kept) >= 4 and not any(os.path.exists(f) for f in kept)
