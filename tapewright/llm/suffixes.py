@@ -353,20 +353,32 @@ def _ask_segments(batches: Iterator[pa.RecordBatch], n: int, length: int, seed:
     yield from out.take()
 
 
-def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int, seed: int) -> None:
-    got = [[] for _ in range(5)]
-    expand = zstandard.ZstdDecompressor()
-    for _, body in asks:
-        row, doc, *rest = unpack(expand.decompress(body), np.int32, np.int64, np.uint32, np.uint32, np.uint8)
-        row = np.cumsum(row, dtype=np.int64)
-        for held, part in zip(got, (row, np.cumsum(doc) + row, *rest), strict=True):
-            held.append(part)
-    ask = np.repeat(np.arange(len(asks)), [len(k) for k in got[0]])
-    row, doc, start, count, text = (np.concatenate(x) for x in got)
+def _first_keys(text: np.ndarray, where: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Key of the string at each of the places ``where`` (ascending), of some of them at a time."""
+    step = max(1, PIECE // length)
+    out = [np.empty(0, np.uint64)]
+    for k in range(0, len(where), step):
+        at = where[k : k + step]
+        out.append(_keys(text[spread(at, np.full(len(at), length))], length, seed)[::length])
+    return np.concatenate(out)
+
+
+def _key_groups(key: np.ndarray, size: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments in order of their keys, some whole keys of about ``PIECE`` bytes (or a single larger one) at a time."""
+    edge = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
+    total = np.concatenate([[0], np.cumsum(size[order])])[edge]  # bytes before each key
+    at = 0
+    while at < len(edge) - 1:
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, side="right")) - 1)
+        yield order[edge[at] : edge[stop]]
+        at = stop
+
+
+def _copies(text, ask, row, doc, start, count, key, length: int) -> list[tuple[np.ndarray, ...]]:
+    """Spans (asking chunk, row, start, bytes) that are later copies among the segments of some whole keys; ``text`` has them end to end."""
     size = count.astype(np.int64) + length - 1
     where = np.cumsum(size) - size
     content = _content(text, where, size)
-    key = _keys(text, length, seed)[where]
     order = np.lexsort((doc, content, key))
     new_key = np.ones(len(order), bool)
     new_key[1:] = key[order][1:] != key[order][:-1]
@@ -402,6 +414,28 @@ def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int, see
         home = at_home[spread(lo, hi - lo)]
         times = hi - lo
         spans.append((ask[home], row[home], start[home] + np.repeat(low, times), np.repeat(long, times)))
+    return spans
+
+
+def _answer_segments(asks: list[tuple[int, bytes]], out: Cells, length: int, seed: int) -> None:
+    got = [[] for _ in range(5)]
+    expand = zstandard.ZstdDecompressor()
+    for _, body in asks:
+        row, doc, *rest = unpack(expand.decompress(body), np.int32, np.int64, np.uint32, np.uint32, np.uint8)
+        row = np.cumsum(row, dtype=np.int64)
+        for held, part in zip(got, (row, np.cumsum(doc) + row, *rest), strict=True):
+            held.append(part)
+    ask = np.repeat(np.arange(len(asks)), [len(k) for k in got[0]])
+    row, doc, start, count, text = (np.concatenate(x) for x in got)
+    del got
+    size = count.astype(np.int64) + length - 1
+    where = np.cumsum(size) - size
+    key = _first_keys(text, where, length, seed)
+    order = np.argsort(key, kind="stable")
+    spans = []
+    for at in _key_groups(key, size, order):
+        letters = text[spread(where[at], size[at])]
+        spans += _copies(letters, ask[at], row[at], doc[at], start[at], count[at], key[at], length)
     who, row, start, size = (np.concatenate([s[k] for s in spans]) for k in range(4))
     order = np.argsort(who, kind="stable")
     who = who[order]

@@ -4,14 +4,17 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, components, decontamination, html, licences, neardup, quality, sharding, suffixes, topk, toxicity
+from tapewright.llm.common import pack, spread, unpack
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -614,3 +617,21 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
         if name == "long_repeats":
             assert sum(passage in (r.text or "") for r in got) == 1 and all(r.n_chars == len(r.text) for r in got)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_answers_about_segments_take_bounded_memory():
+    texts = np.random.default_rng(5).integers(97, 123, 6_000_000).astype(np.uint8)
+    start, count, key, owner = suffixes.segments(texts, np.array([0, len(texts)]))
+    letters = texts[spread(start, count + suffixes.LENGTH - 1)]
+    asks = []
+    for doc in (1, 2):  # the second document copies the first one
+        body = pack(np.zeros(len(start), np.int32), np.append(doc, np.zeros(len(start) - 1, np.int64)), start.astype(np.uint32), count.astype(np.uint32), letters)
+        asks.append((doc, zstandard.ZstdCompressor().compress(body)))
+    out = suffixes.Cells()
+    tracemalloc.start()
+    suffixes._answer_segments(asks, out, suffixes.LENGTH, suffixes.SEED)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 2 * len(letters)
+    ((chunk, _, _, body),) = out.rows
+    assert chunk == 2 and len(unpack(body, np.uint32, np.uint32, np.uint32)[0]) == len(start)
