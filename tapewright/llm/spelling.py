@@ -25,7 +25,7 @@ TOP = 4  # levels that are dealt out at first
 MORE = 4  # levels by which a large cell is cut
 LIMIT = 50_000  # words of a cell that one task holds
 HELD = 200_000  # words and questions that one search takes
-CHECKED = 8 << 20  # letters that one comparison takes
+CHECKED = 1 << 20  # letters that one comparison takes: its indices are many times as large, and two tasks share an executor
 CROWDED = 64  # comparisons a word from which a leaf is searched by what is left without one letter
 RATIO = 10  # a form occurs so many times as often
 LEAST = 7

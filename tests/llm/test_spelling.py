@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -161,3 +162,16 @@ def test_query_against_the_rules(spark, tmp_path):
 def test_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.spelling_forms(spelling.word_counts(empty)).count() == 0
+
+
+def test_comparing_many_pairs_takes_bounded_memory():
+    n = 800_000
+    points = np.tile(np.arange(97, 109, dtype=np.uint32), 2)
+    points[12] = 122
+    starts = np.array([0, 12, 24])
+    a, b = np.zeros(n, np.int64), np.ones(n, np.int64)
+    tracemalloc.start()
+    assert spelling.near(points, starts, a, b).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
