@@ -52,14 +52,20 @@ def codes(words: Column) -> Column:
 def windows(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
     """A row for each window of ``length`` words: ``at`` (its first word), ``hash`` of its template, its ``words``.
 
-    ``rows`` has ``words`` and ``codes``, a hash of each word's template.
+    ``rows`` has ``words`` and ``codes``, a hash of each word's template. Hashes of windows are made of those of two
+    shorter ones, which may overlap: a handful of steps over all places at once.
     """
-    count = F.size("words") - length + 1
-    hashes = F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice("codes", i, length))),
-    )
-    return rows.select(*keep, "words", F.posexplode(hashes).alias("at", "hash"))
+    rows = rows.select(*keep, "words", F.col("codes").alias("hashes"))
+    span = 1
+    while span < length:
+        step = min(span, length - span)
+        rows = rows.withColumn("hashes", F.zip_with("hashes", F.slice("hashes", step + 1, F.size("hashes")), lambda a, b: F.xxhash64(a, b)))
+        span += step
+    rows = rows.withColumn("hashes", F.slice("hashes", 1, F.greatest(F.size("words") - length + 1, F.lit(0))))
+    # Of a column, not of an expression: so windows are made in generated code and share the row's words. Without "outer" a
+    # filter on the array's size would be put below all steps and do them over again.
+    rows = rows.select(*keep, "words", F.posexplode_outer("hashes").alias("at", "hash"))
+    return rows.filter(F.col("hash").isNotNull())
 
 
 def _plain(words: Column) -> Column:
@@ -107,7 +113,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             if count <= SMALL:
                 asked = F.broadcast(asked)
-            got = F.slice("words", F.col("at") + 1, F.lit(length))
+            # As a generated row, ``got`` keeps its check behind the join: inside, each window would carry a copy of its text's words there.
+            got = F.explode(F.array(F.slice("words", F.col("at") + 1, F.lit(length))))
             seen = windows(coded(own), ["doc_id"], length).join(asked, "hash").withColumn("got", got)
             seen = seen.filter(F.col("got") == F.col("asked") if exact else template(F.col("got")) == template(F.col("asked")))
             part = seen.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", "asked", "got")

@@ -635,3 +635,16 @@ def test_answers_about_segments_take_bounded_memory():
     assert peak < 12 * 2 * len(letters)
     ((chunk, _, _, body),) = out.rows
     assert chunk == 2 and len(unpack(body, np.uint32, np.uint32, np.uint32)[0]) == len(start)
+
+
+
+def test_windows_are_made_once_and_in_generated_code(spark):
+    rows = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "too few")], "doc_id long, text string")
+    words = rows.select("doc_id", decontamination.typed_words(F.col("text")).alias("words"))
+    made = decontamination.windows(words.withColumn("codes", decontamination.codes(F.col("words"))), ["doc_id"], 8)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode(hashes" in plan and not re.search(r"Filter .*size\(", plan)
+    assert [(r.doc_id, r.at) for r in made.orderBy("at").collect()] == [(1, 0), (1, 1)]
+    for length in range(1, 10):
+        own = decontamination.windows(words.withColumn("codes", decontamination.codes(F.col("words"))), ["doc_id"], length)
+        assert own.filter("doc_id = 1").count() == 10 - length == own.filter("doc_id = 1").select("hash").distinct().count()
