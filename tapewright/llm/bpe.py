@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import sized, table
 
+T = TypeVar("T")
+
 # Fixed values of the vocabulary's format.
 WORD_END = "</w>"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -75,7 +79,11 @@ class Vocabulary:
         order = np.argsort(key)
         self.size, self.pair_keys, self.pair_ids = size, key[order], made[order]
         self.symbols = byte_symbols()
-        self.table = {b: s for b, s in enumerate(self.symbols)}
+        self.table = {b: s for b, s in enumerate(self.symbols) if b != 10}
+        self.spaced = [f" {t}" for t in self.tokens]
+        self.symbol_ids = np.full((2, 512), -1, np.int64)  # of each symbol inside a piece and at its end
+        for s in self.symbols:
+            self.symbol_ids[:, ord(s)] = self.ids[s], self.ids[s + WORD_END]
         # Prefixes of tokens with the id of the token that ends there, or -1: one walk finds the longest match.
         self.walk: dict[str, int] = {}
         self.ends: dict[str, int] = {}
@@ -192,27 +200,108 @@ class Vocabulary:
         bad[owner[~self.sound[ids]]] = True
         border = np.flatnonzero(owner[1:] == owner[:-1])
         bad[owner[border[~self.stable(ids[border], ids[border + 1])]]] = True
-        for i in np.flatnonzero(bad):
-            proposed[i] = self.merged(pieces[i])
+        failed = np.flatnonzero(bad)
+        for i, own in zip(failed, self.merged_all([pieces[i] for i in failed]), strict=True):
+            proposed[i] = own
         return proposed
 
+    def merged_all(self, pieces: list[str]) -> list[list[int]]:
+        """Exact merging of many pieces: rows of ids of one width make their first merge of lowest rank and go on one narrower.
+
+        Long pieces are merged one by one.
+        """
+        out: list[list[int]] = [[]] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(sizes > LONG):
+            out[i] = self.merged(pieces[i])
+        none = self.size + 1
+        who = np.empty(0, np.int64)
+        ids, ranks = np.empty((0, LONG), np.int64), np.empty((0, LONG - 1), np.int64)
+        for width in range(LONG, 0, -1):
+            fresh = np.flatnonzero(sizes == width)
+            if len(fresh):
+                symbols = np.frombuffer("".join([pieces[i] for i in fresh]).encode("utf-32-le"), "<u4").reshape(-1, width)
+                first = self.symbol_ids[0][symbols]
+                first[:, -1] = self.symbol_ids[1][symbols[:, -1]]
+                who = np.concatenate([who, fresh])
+                ids = np.concatenate([ids, first])
+                ranks = np.concatenate([ranks, self.rank_of(first[:, :-1], first[:, 1:])])
+            if not len(who):
+                ids, ranks = ids[:, 1:], ranks[:, 1:]
+                continue
+            if width > 1:
+                at = ranks.argmin(axis=1)
+                row = np.arange(len(who))
+                rank = ranks[row, at]
+                over = rank == none
+            else:
+                over = np.ones(len(who), bool)
+            for i, own in zip(who[over].tolist(), ids[over].tolist(), strict=True):
+                out[i] = own
+            if width == 1:
+                break
+            who, ids, ranks, at, rank = who[~over], ids[~over], ranks[~over], at[~over], rank[~over]
+            row = np.arange(len(who))
+            ids[row, at] = rank
+            stay = np.ones(ids.shape, bool)
+            stay[row, at + 1] = False
+            ids = ids[stay].reshape(len(who), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[row, at] = False
+            ranks = ranks[stay].reshape(len(who), width - 2)
+            for k in (at - 1, at):
+                inner = np.flatnonzero((k >= 0) & (k < width - 2))
+                k = k[inner]
+                ranks[inner, k] = self.rank_of(ids[inner, k], ids[inner, k + 1])
+        return out
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Id of the token that a pair merges to, or a number above all ids."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ids[at], self.size + 1)
+
     def pieces(self, chunk: str) -> list[str]:
         """Normalized pieces of a chunk without white space, as byte symbols."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
-        found = [chunk] if chunk.isalpha() else pieces_pattern().findall(chunk)
-        return [p if p.isascii() and p.isprintable() else p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for p in found]
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Token ids of chunks without white space; a chunk that is a special token gets its id."""
-        parts = [[] if c in self.special else self.pieces(c) for c in chunks]
-        distinct = {p: None for own in parts for p in own}
-        codes = dict(zip(distinct, self.encode_pieces(list(distinct)), strict=True))
-        return [
-            [self.special[c]] if c in self.special else [i for p in own for i in codes[p]]
-            for c, own in zip(chunks, parts, strict=True)
-        ]
+        return self.as_symbols(self.parted([chunk])[0])
+
+    def parted(self, chunks: list[str]) -> list[list[str]]:
+        """Normalized pieces of each chunk; a line feed, which no chunk has, keeps chunks apart while they are normalized at once."""
+        if not chunks:
+            return []
+        text = "\n".join(chunks)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        find = pieces_pattern().findall
+        return [[c] if c.isalpha() else find(c) for c in text.lower().split("\n")]
+
+    def as_symbols(self, pieces: list[str]) -> list[str]:
+        """The byte symbols of each piece; none has a line feed."""
+        if not pieces:
+            return []
+        return "\n".join(pieces).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table).split("\n")
+
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """Token ids of chunks without white space, four bytes each, and their texts, a blank before each; a special token's chunk has its id."""
+        parts = [[c] if c in self.special else own for c, own in zip(chunks, self.parted(chunks), strict=True)]
+        distinct = list({p: None for own in parts for p in own if p not in self.special})
+        codes = self.encode_pieces(self.as_symbols(distinct))
+        distinct += self.special
+        codes += [[i] for i in self.special.values()]
+        ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes))) * 4
+        body = np.fromiter(itertools.chain.from_iterable(codes), np.int32, int(ends[-1]) // 4).tobytes() if codes else b""
+        token = self.spaced.__getitem__
+        known, at = {}, 0
+        for p, own, end in zip(distinct, codes, ends.tolist(), strict=True):
+            known[p] = body[at:end], "".join(map(token, own))
+            at = end
+
+        def whole(own: list[str]) -> tuple[bytes, str]:
+            if len(own) == 1:
+                return known[own[0]]
+            return b"".join([known[p][0] for p in own]), "".join([known[p][1] for p in own])
+
+        return list(map(whole, parts))
 
 
 @functools.cache
@@ -229,30 +318,47 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}  # ids, four bytes each, and their texts, a blank before each
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def chunks(self, text: str) -> list[str]:
         if "<|" in text:
             text = self.vocabulary.special_text.sub(lambda m: f" {m[0]} ", text)
         return CHUNKS.findall(text) if NOT_SPACE.search(text) else text.split()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def looked_up(self, texts: list[str], take: Callable[[list[str]], T]) -> list[T]:
+        """``take`` of each text's chunks, all of which are known meanwhile."""
         split = [self.chunks(t) for t in texts]
-        new = {c for own in split for c in own}
+        new = set().union(*split)
         if len(self.known) > KEPT:  # what is still in use moves over from the older half
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = [c for c in new if c not in known]
+        new = new.difference(known)
         known.update((c, older[c]) for c in new if c in older)
         new = [c for c in new if c not in older]
         known.update(zip(new, self.vocabulary.encode_chunks(new), strict=True))
-        out = [[i for c in own for i in known[c]] for own in split]
+        out = list(map(take, split))
         for c in new:
             if len(c) > LONG:
                 del known[c]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        known = lambda own: b"".join([self.known[c][0] for c in own])
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.looked_up(texts, known)]
+
+    def encode_and_decode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids of each text, four bytes each, and its decoded text."""
+
+        def take(own: list[str]) -> tuple[bytes, str]:
+            if not own:
+                return b"", ""
+            ids, texts = zip(*map(self.known.__getitem__, own), strict=True)
+            return b"".join(ids), "".join(texts)[1:]
+
+        both = self.looked_up(texts, take)
+        return [ids for ids, _ in both], [text for _, text in both]
+
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by blanks: the format has no decoder of its own."""
         return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -269,13 +375,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches):
             encoder = encoder_of(path)
-            ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, decoded = encoder.encode_and_decode([t or "" for t in batch.column("text").to_pylist()])
             counts = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(i) for i in ids], out=counts[1:])
-            flat = pa.array(np.fromiter((i for own in ids for i in own), np.int32, int(counts[-1])))
-            decoded = pa.array([encoder.decode(i) for i in ids], pa.string())
+            np.cumsum([len(i) // 4 for i in ids], out=counts[1:])
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(pa.array(counts), flat), decoded], ["key", "ids", "decoded"]
+                [batch.column("key"), pa.ListArray.from_arrays(pa.array(counts), flat), pa.array(decoded, pa.string())], ["key", "ids", "decoded"]
             )
 
     kind = docs.schema[key].dataType.simpleString()

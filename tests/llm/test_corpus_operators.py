@@ -637,6 +637,13 @@ def test_answers_about_segments_take_bounded_memory():
     assert chunk == 2 and len(unpack(body, np.uint32, np.uint32, np.uint32)[0]) == len(start)
 
 
+def test_pieces_are_merged_together_like_one_by_one():
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    texts = ["Unterscheidungen", "zzqx" * 9, "a", "e" * 48, "ab" * 40, "été", "漢字かな", "1'", "\x00\x07", "x" * 130]
+    pieces = [p for t in texts for p in v.pieces(t)]
+    assert v.merged_all(pieces) == [v.merged(p) for p in pieces]
+    assert v.merged_all([]) == []
+
 
 def test_windows_are_made_once_and_in_generated_code(spark):
     rows = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "too few")], "doc_id long, text string")
