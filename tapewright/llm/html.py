@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import FEW, mixed, partitions, saved, sized, table
+from tapewright.llm.blocks import ANSWER, ASKS, MOVED, TABLE, Cells, answered, by_bucket, chunk_id
+from tapewright.llm.common import mixed, pack, partitions, sized, spread, table, unpack
 
 RUN = 8  # tokens of the shortest run that counts as repeated
 GRAM = 4  # tokens whose least hash is a run's key
 PAGES = 3  # distinct pages that make a repeated run boilerplate; 2 on a host that has no more
-FREQUENT = 2000  # pieces of a key above which their windows are dealt one by one
-HASHES = 500_000  # words whose hashes a task keeps
+FREQUENT = 2000  # distinct pages of a key above which its windows are dealt one by one
 
 # Names of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,132 +203,338 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_hashes: dict[str, int] = {}
+#: Values of a byte at each of a word's first places.
+PLACED = mixed(np.arange(1, (256 << 6) + 1, dtype=np.uint64))
 
 
-def _hash(word: str) -> int:
-    found = _hashes.get(word)
-    if found is None:
-        if len(_hashes) >= HASHES:
-            _hashes.clear()
-        found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            _hashes[word] = found
-    return found
-
-
-def _tokens(text: str) -> np.ndarray:
-    return np.array([_hash(w) for w in text.lower().split()], np.uint64)
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+def _tokens(texts: list[str]) -> np.ndarray:
+    """Values of the words of texts, which stand one blank apart: sums of what their bytes are worth at their places."""
+    if not texts:
+        return np.empty(0, np.uint64)
+    buf = np.frombuffer((" ".join(texts).lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero(buf == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = (np.arange(len(buf)) - np.repeat(starts, ends - starts + 1)) * 256 + buf
+    values = PLACED[np.minimum(place, len(PLACED) - 1)]
+    far = np.flatnonzero(place >= len(PLACED))
+    values[far] = mixed(place[far].astype(np.uint64) + np.uint64(1))
+    return np.add.reduceat(values, starts)
 
 
-#: ``page`` names a page by its open text: pages that say the same count as one.
-KEYS = "key long, page long"
-PIECES = "host long, key long, page_id long, copy long, page long, at int, tokens binary"
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.uint64, int, np.ndarray]]:
-    """Of each page its id, digest, host, name and the tokens of all its blocks, declared ones included."""
-    for page_id, copy, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "copy", "url", "html")), strict=True):
-        page = blocks(text or "")
-        tokens = [_tokens(b.text) for b in page]
-        says = _joined([t for t, b in zip(tokens, page, strict=True) if b.open]).tobytes()
-        name = int.from_bytes(hashlib.blake2b(says, digest_size=8).digest(), "little", signed=True)
-        yield page_id, copy, np.uint64(_hash("//" + host(url))), name, _joined(tokens)
+#: Parsed pages travel once, compressed some megabytes at a time; a cell's content names it.
+CELLS = "chunk long, body binary"
+LEVEL = 9  # of their compression: a quarter less than at the usual one, for some hundredths of a second a MB of text
+TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("texts", pa.list_(pa.string())), ("kinds", pa.list_(pa.int8()))])
 
 
-def _keys(of: np.uint64, stream: np.ndarray) -> np.ndarray:
-    """Key of each window of ``RUN`` tokens: the least hash of its ``GRAM`` tokens and the host."""
-    if len(stream) < RUN:
-        return np.empty(0, np.uint64)
-    grams = np.full(len(stream) - GRAM + 1, of, np.uint64)
-    for k in range(GRAM):
-        grams = mixed(grams + stream[k : k + len(grams)])
-    return np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(axis=1)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of some pages as one compressed cell."""
+    for batch in sized(batches, "html"):
+        pages = [blocks(text or "") for text in batch.column("html").to_pylist()]
+        texts = pa.array([[b.text for b in page] for page in pages], TEXTS.field("texts").type)
+        kinds = pa.array([[b.article + 2 * b.open for b in page] for page in pages], TEXTS.field("kinds").type)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
+            out.write_batch(pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), texts, kinds], schema=TEXTS))
+        body = sink.getvalue().to_pybytes()
+        yield pa.RecordBatch.from_arrays([pa.array([chunk_id(np.frombuffer(body, np.uint8))]), pa.array([body], pa.binary())], ["chunk", "body"])
+
+
+def _pages(body: bytes) -> tuple[list[int | None], list[str | None], list[list[Block]]]:
+    cell = pa.ipc.open_stream(body).read_all()
+    ids, urls, texts, kinds = (cell.column(c).to_pylist() for c in TEXTS.names)
+    return ids, urls, [[Block(t, bool(k & 1), bool(k & 2)) for t, k in zip(*of, strict=True)] for of in zip(texts, kinds, strict=True)]
+
+
+class Streams:
+    """Token streams of a cell's pages with an id: all their blocks, declared ones included, one page after another."""
+
+    def __init__(self, body: bytes):
+        ids, urls, pages = _pages(body)
+        self.rows = np.array([i for i, of in enumerate(ids) if of is not None], np.int64)
+        pages = [pages[i] for i in self.rows]
+        tokens, held, size = [], [], 0
+        for page in pages:
+            held += [b.text for b in page]
+            size += sum(len(b.text) for b in page)
+            if size > 1 << 20:
+                tokens.append(_tokens(held))
+                held, size = [], 0
+        self.stream = np.concatenate([*tokens, _tokens(held)])
+        counts = [[b.text.count(" ") + 1 for b in page] for page in pages]
+        self.ends = np.cumsum([0] + [sum(of) for of in counts])
+        self.page = np.repeat(np.arange(len(pages)), np.diff(self.ends))
+        self.open = np.repeat(np.array([b.open for page in pages for b in page], bool), np.array([n for of in counts for n in of], np.int64))
+        self.hosts = np.array([_hash("//" + host(urls[i])) for i in self.rows], np.uint64)
+        #: A page is named by its open text: pages that say the same count as one.
+        says = [self.stream[a:b][self.open[a:b]].tobytes() for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        self.names = np.array([int.from_bytes(hashlib.blake2b(of, digest_size=8).digest(), "little", signed=True) for of in says], np.int64)
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbouring windows of ``RUN`` tokens of a page that share a key: their first place, their count and the key.
+
+        A window's key is the least hash of its ``GRAM`` tokens and the host.
+        """
+        windows = len(self.stream) - RUN + 1
+        if windows < 1:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        grams = self.hosts[self.page[: windows + RUN - GRAM]]
+        for k in range(GRAM):
+            grams = mixed(grams + self.stream[k : k + len(grams)])
+        keys = grams[:windows]
+        for k in range(1, RUN - GRAM + 1):
+            keys = np.minimum(keys, grams[k : k + windows])
+        at = np.flatnonzero(self.page[:windows] == self.page[RUN - 1 : RUN - 1 + windows])
+        keys, page = keys[at], self.page[at]
+        first = np.flatnonzero(_changes(keys, page))
+        return at[first], np.diff(first, append=len(at)), keys[first]
+
+    def hosted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hosts and up to ``PAGES`` of their pages' names."""
+        order = np.lexsort([self.names, self.hosts])
+        hosts, names = self.hosts[order], self.names[order]
+        new = _changes(hosts, names)
+        hosts, names = hosts[new], names[new]
+        few = _rank(_changes(hosts)) < PAGES
+        return hosts[few], names[few]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which of the rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _rank(new: np.ndarray) -> np.ndarray:
+    """Place of each row in its group, from 0; ``new`` marks the groups' first rows."""
+    first = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(first, np.diff(first, append=len(new)))
+
+
+def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves of numbers below 2**32: high ones are mostly zeros, which take no room in a shuffle."""
+    return (values & 65535).astype(np.uint16), (values >> 16).astype(np.uint16)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) + (high.astype(np.int64) << 16)
+
+
+def _asked(of: Streams, keys: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """What a cell asks each bucket: its keys of one page, page by page, its keys of several, and hosts with some names.
+
+    Of a key its low half travels: keys that share it are compared in vain, none is lost.
+    """
+    names = of.names[of.page[at]]
+    order = np.lexsort([names, keys])
+    keys, names = keys[order], names[order]
+    new = _changes(keys, names)
+    keys, names = keys[new], names[new]
+    first = np.flatnonzero(_changes(keys))
+    count = np.diff(first, append=len(keys))
+    single, several = first[count == 1], first[count > 1]
+    order = np.lexsort([keys[single], names[single]])
+    single, count = single[order], np.minimum(count[count > 1], 65535).astype(np.uint16)
+    hosts, says = of.hosted()
+    parts = [dict(by_bucket(k, n)) for k in (keys[single], keys[several], mixed(mixed(hosts)))]
+    none = np.empty(0, np.int64)
+    for b in sorted(set().union(*parts)):
+        one, more, held = (p.get(b, none) for p in parts)
+        new = np.flatnonzero(_changes(names[single[one]]))
+        groups = names[single[one]][new], *_halves(np.diff(new, append=len(one)))
+        low = [keys[k].astype(np.uint32) for k in (single[one], several[more])]
+        yield b, keys[single[one]], keys[several[more]], pack(np.array([b]), *groups, *low, count[more], hosts[held], says[held])
+
+
+ASKED = (np.int64, np.int64, np.uint16, np.uint16, np.uint32, np.uint32, np.uint16, np.uint64, np.int64)
+
+
+def _asks(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Cells()
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                of = Streams(body)
+                at, _, keys = of.pieces()
+                for b, _, _, ask in _asked(of, keys, at, n):
+                    out.add(chunk, b, ASKS, ask)
+                if out.full():
+                    yield from out.take()
+        yield from out.take()
 
+    return run
 
-def _host_key(of: np.uint64) -> np.ndarray:
-    """Key under which every page of a host is counted."""
-    return mixed(mixed(np.array([of], np.uint64)))
 
+def _shared(frequent: int):
+    """Answers of a bucket: which keys stand on several distinct pages (1) or on more than ``frequent`` (2), and how many pages its hosts have.
 
-def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of each page, its host's included."""
-    for batch in sized(batches, "html"):
-        keys, pages = [], []
-        for _, _, of, name, stream in _streams(batch):
-            got = np.unique(np.concatenate([_keys(of, stream), _host_key(of)]))
-            keys.append(got.view(np.int64))
-            pages.append(np.full(len(got), name, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(pages))], ["key", "page"])
+    Pages of a host are counted up to ``PAGES``.
+    """
 
+    def answer(asks: list[tuple[int, bytes]], out: Cells) -> None:
+        parts = [unpack(body, *ASKED) for _, body in asks]
+        _, names, low, high, single, several, many, hosts, says = (np.concatenate(c) for c in zip(*parts, strict=True))
+        names = np.repeat(names, _joined(low, high))
+        order = np.lexsort([names, single])
+        alone = single[order][_changes(single[order], names[order])]
+        keys, of = np.unique(np.concatenate([alone, several]), return_inverse=True)
+        pages = np.bincount(of, np.concatenate([np.ones(len(alone)), many]), len(keys))
+        state = (pages > 1).astype(np.uint8) + (pages > max(frequent, 1))
+        order = np.lexsort([says, hosts])
+        new = _changes(hosts[order], says[order])
+        known, need = np.unique(hosts[order][new], return_counts=True)
+        need = np.minimum(need, PAGES).astype(np.uint8)
+        for (chunk, _), (b, *_, single, several, _, hosts, _) in zip(asks, parts, strict=True):
+            own = np.unique(hosts)
+            got = [state[np.searchsorted(keys, k)] for k in (single, several)]
+            out.add(chunk, int(b[0]), ANSWER, pack(b, *got, own, need[np.searchsorted(known, own)]))
+
+    return answer
+
+
+def _segments(n: int):
+    """The pieces of a cell whose keys stand on several pages, each once with up to ``PAGES`` of its pages' names.
+
+    Windows of frequent keys are pieces of their own, dealt by their tokens. A table tells where the pieces stand.
+    """
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring windows of a page's token stream that share a key; one row without tokens counts the page."""
-    for batch in sized(batches, "html"):
-        rows = []
-        for page_id, copy, of, name, stream in _streams(batch):
-            own = int(of.view(np.int64))
-            rows.append((own, int(_host_key(of).view(np.int64)[0]), page_id, copy, name, -1, b""))
-            keys = _keys(of, stream)
-            if len(keys):
-                cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
-                for a, b, key in zip(cuts[:-1], cuts[1:], keys[cuts[:-1]].view(np.int64).tolist(), strict=True):
-                    rows.append((own, key, page_id, copy, name, a, stream[a : b + RUN - 1].tobytes()))
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "page_id", "copy", "page", "at", "tokens"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays of the pieces of a host and key: starts whose first ``RUN`` tokens stand on several pages.
-
-    Suffixes are in order, and those that share ``RUN`` tokens form a run. ``pages`` counts a run's distinct pages up
-    to ``PAGES``: a piece names its two outer pages, and ``many`` tells that it has more.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Cells()
+        for batch in batches:
+            for chunk, body, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "answers")), strict=True):
+                if answers:
+                    _add_segments(chunk, Streams(body), {b: body for b, _, body in map(_cell, answers)}, n, out)
+                if out.full():
+                    yield from out.take()
+        yield from out.take()
+
+    return run
+
+
+def _cell(of: dict) -> tuple[int, int, bytes]:
+    return of["bucket"], of["kind"], of["body"]
+
+
+def _add_segments(chunk: int, of: Streams, answers: dict[int, bytes], n: int, out: Cells) -> None:
+    at, count, keys = of.pieces()
+    asked, states, hosts, needs = [], [], [], []
+    for b, single, several, _ in _asked(of, keys, at, n):
+        _, one, more, own, need = unpack(answers[b], np.int64, np.uint8, np.uint8, np.uint64, np.uint8)
+        asked += [single, several]
+        states += [one, more]
+        hosts.append(own)
+        needs.append(need)
+    if not asked:
+        return
+    order = np.argsort(np.concatenate(asked))
+    asked, states = np.concatenate(asked)[order], np.concatenate(states)[order]
+    order = np.argsort(np.concatenate(hosts))
+    hosts, needs = np.concatenate(hosts)[order], np.concatenate(needs)[order]
+
+    state = states[np.searchsorted(asked, keys)] if len(asked) else np.zeros(len(keys), np.uint8)
+    need = needs[np.searchsorted(hosts, of.hosts[of.page[at]])]
+    whole, dealt = np.flatnonzero((state == 1) & (need > 1)), np.flatnonzero((state == 2) & (need > 1))
+    window = spread(at[dealt], count[dealt])
+    hashed = of.hosts[of.page[window]]
+    for k in range(RUN):
+        hashed = mixed(hashed + of.stream[window + k])
+    first, size = np.concatenate([at[whole], window]), np.concatenate([count[whole], np.ones(len(window), np.int64)])
+    if not len(first):
+        return
+    dealer, need = np.concatenate([keys[whole], hashed]), np.concatenate([need[whole], np.repeat(need[dealt], count[dealt])])
+
+    known: dict[tuple[int, bytes], int] = {}
+    piece = np.empty(len(first), np.int64)
+    for i, (a, b, h) in enumerate(zip(first.tolist(), (first + size + RUN - 1).tolist(), of.hosts[of.page[first]].tolist(), strict=True)):
+        piece[i] = known.setdefault((h, of.stream[a:b].tobytes()), len(known))
+    one = np.unique(piece, return_index=True)[1]
+    names = of.names[of.page[first]]
+    order = np.lexsort([names, piece])
+    new = _changes(piece[order], names[order])
+    owner, names = piece[order][new], names[order][new]
+    few = _rank(_changes(owner)) < PAGES
+    owner, names = owner[few], names[few]
+    start, each = np.searchsorted(owner, np.arange(len(one))), np.bincount(owner, minlength=len(one))
+
+    page = of.page[first]
+    out.add(chunk, chunk % n, TABLE, pack(*_halves(piece), *_halves(of.rows[page]), *_halves(first - of.ends[page])))
+    for b, ids in by_bucket(dealer[one], n):
+        row = one[ids]
+        words, codes = np.unique(of.stream[spread(first[row], size[row] + RUN - 1)], return_inverse=True)
+        hosts, place = np.unique(of.hosts[of.page[first[row]]], return_inverse=True)
+        own = names[spread(start[ids], each[ids])]
+        small = need[row], each[ids].astype(np.uint8)
+        out.add(chunk, b, ASKS, pack(hosts, own, words, *small, *_halves(ids), *_halves(place), *_halves(size[row]), *_halves(codes)))
+
+
+SEGMENTS = (np.uint64, np.int64, np.uint64, np.uint8, np.uint8, *[np.uint16] * 8)
+
+
+def _repeated(asks: list[tuple[int, bytes]], out: Cells) -> None:
+    """Suffix array of a bucket's pieces: answers the places in pieces whose ``RUN`` tokens stand on as many pages as their host needs.
+
+    Suffixes are in order, and those of a host that share ``RUN`` tokens form a run. Its distinct pages are counted up
+    to ``PAGES``: a piece names so many of its pages.
     """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tokens = batch.column("tokens").to_pylist()
-        values = np.frombuffer(b"".join(tokens), np.uint64)
-        sizes = np.array([len(t) // 8 for t in tokens], np.int64)
-        first = np.cumsum(sizes) - sizes
-        counts = sizes - RUN + 1
-        piece = np.repeat(np.arange(len(sizes)), counts)
-        inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = first[piece] + inner
-        page = batch.column("page").to_numpy()[piece]
-        columns = [batch.column("host").to_numpy()[piece], *[values[at + k] for k in range(RUN)]]
-        order = np.lexsort([page, *columns[::-1]])
-        head = np.ones(len(order), bool)
-        head[1:] = False
-        for c in columns:
-            head[1:] |= c[order][1:] != c[order][:-1]
-        run = np.cumsum(head) - 1
-        other = head.copy()
-        other[1:] |= page[order][1:] != page[order][:-1]
-        pages = np.bincount(run[other])
-        pages[run[batch.column("many").to_numpy(zero_copy_only=False)[piece][order]]] = PAGES
-        pages = np.minimum(pages, PAGES)[run].astype(np.int32)
-        hit = order[pages > 1]
-        rows = [pa.array(batch.column(c).to_numpy()[piece[hit]]) for c in ("host", "piece")]
-        yield pa.RecordBatch.from_arrays([*rows, pa.array(inner[hit].astype(np.int32)), pa.array(pages[pages > 1])], ["host", "piece", "inner", "pages"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a piece, with its tokens."""
-    for batch in batches:
-        tokens = batch.column("tokens").to_pylist()
-        places = [(i, k) for i, t in enumerate(tokens) for k in range(len(t) // 8 - RUN + 1)]
-        taken = batch.select(["host", "piece", "page", "many"]).take(pa.array([i for i, _ in places], pa.int64()))
-        inner = pa.array([k for _, k in places], pa.int32())
-        window = pa.array([tokens[i][8 * k : 8 * (k + RUN)] for i, k in places], pa.binary())
-        yield pa.RecordBatch.from_arrays([*taken.columns, inner, window], ["host", "piece", "page", "many", "inner", "window"])
+    ids, hosts, needs, sizes, each, names, values, cell = [], [], [], [], [], [], [], []
+    for i, (_, body) in enumerate(asks):
+        places, says, words, need, pages, *halves = unpack(body, *SEGMENTS)
+        own, place, size, codes = (_joined(*halves[k : k + 2]) for k in range(0, 8, 2))
+        ids.append(own)
+        hosts.append(places[place])
+        needs.append(need)
+        sizes.append(size)
+        each.append(pages.astype(np.int64))
+        names.append(says)
+        values.append(words[codes])
+        cell.append(np.full(len(own), i))
+    ids, hosts, needs, sizes, each, names, values, cell = (np.concatenate(c) for c in (ids, hosts, needs, sizes, each, names, values, cell))
+    first = np.cumsum(sizes + RUN - 1) - (sizes + RUN - 1)
+    said = np.cumsum(each) - each
+    piece = np.repeat(np.arange(len(ids)), sizes)
+    inner = spread(np.zeros(len(ids), np.int64), sizes)
+    at = first[piece] + inner
+    # A suffix stands once for each page that its piece names.
+    row = np.repeat(np.arange(len(piece)), each[piece])
+    page = names[spread(said[piece], each[piece])]
+    columns = [hosts[piece][row], *[values[at + k][row] for k in range(RUN)]]
+    order = np.lexsort([page, *columns[::-1]])
+    head = _changes(*[c[order] for c in columns])
+    run = np.cumsum(head) - 1
+    pages = np.bincount(run[head | _changes(page[order])])[run]
+    hit = np.unique(row[order[np.minimum(pages, PAGES) >= needs[piece[row[order]]]]])
+    cuts = np.searchsorted(cell[piece[hit]], np.arange(len(asks) + 1))
+    for i, (chunk, _) in enumerate(asks):
+        own = hit[cuts[i] : cuts[i + 1]]
+        if len(own):
+            out.add(chunk, 0, ANSWER, pack(*_halves(ids[piece[own]]), *_halves(inner[own])))
+
+
+def _starts(answers: list[dict] | None, pages: int) -> list[list[int]]:
+    """Of each page of a cell the places at which a repeated run of tokens begins."""
+    cells = [_cell(of) for of in answers or ()]
+    tables = [body for _, kind, body in cells if kind == TABLE]
+    hits = [unpack(body, *[np.uint16] * 4) for _, kind, body in cells if kind == ANSWER]
+    found: list[list[int]] = [[] for _ in range(pages)]
+    if tables and hits:
+        halves = unpack(tables[0], *[np.uint16] * 6)  # equal cells have equal tables
+        piece, page, at = (_joined(*halves[k : k + 2]) for k in (0, 2, 4))
+        ids, inner = (np.concatenate([_joined(*of[k : k + 2]) for of in hits]) for k in (0, 2))
+        order = np.argsort(ids, kind="stable")
+        ids, inner = ids[order], inner[order]
+        low, high = np.searchsorted(ids, piece), np.searchsorted(ids, piece, side="right")
+        start = np.repeat(at, high - low) + inner[spread(low, high - low)]
+        for of, s in zip(np.repeat(page, high - low).tolist(), start.tolist(), strict=True):
+            found[of].append(s)
+    return found
 
 
 def main_text(page: list[Block], starts: list[int]) -> list[Block]:
@@ -370,69 +576,30 @@ def extract(pages: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     ids are kept and compared with nothing. An empty table gives an empty result.
 
     The token streams of all pages are compared. A run of ``RUN`` tokens is keyed by its host and the least hash of its
-    ``GRAM`` tokens; keys of one page are left out first. A task sorts the suffixes of whole keys; the windows of a key
-    with more than ``frequent`` different pieces are dealt one by one. Equal pieces are put together before they
-    travel: their two outer pages, and whether there are more, tell on how many pages a run stands.
+    ``GRAM`` tokens; keys of one page are left out first. A bucket sorts the suffixes of whole keys; the windows of a key
+    on more than ``frequent`` distinct pages are dealt one by one. Pages are parsed once and travel once, compressed as
+    cells of neighbours; cells and buckets ask and answer in packed arrays. Equal pieces of a cell are put together
+    before they travel: ``PAGES`` of their pages tell on how many a run stands.
     """
     n = partitions(pages.sparkSession)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("copy", F.xxhash64("url", "html"))
-    asking = own.filter("page_id is not null")
-    shared = asking.mapInArrow(_page_keys, KEYS).groupBy("key").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    shared = saved(shared.filter("first < last").select("key"))
-    shared = F.broadcast(shared) if shared.count() <= FEW else shared
-    named = saved(asking.mapInArrow(_pieces, PIECES).join(shared, "key", "left_semi").withColumn("piece", F.xxhash64("host", "key", "tokens")))
-    need = named.filter("at < 0").groupBy("host").agg(F.least(F.countDistinct("page"), F.lit(PAGES)).alias("need"))
-    named = named.filter("at >= 0")
-
-    outer = [F.min("page").alias("first"), F.max("page").alias("last"), (F.countDistinct("page") > 2).alias("many")]
-    pieces = saved(named.groupBy("host", "key", "piece").agg(*outer, F.first("tokens").alias("tokens")))
-    busy = pieces.groupBy("host", "key").count().filter(F.col("count") > frequent).select("host", "key")
-    both = pieces.withColumn("page", F.explode(F.array_distinct(F.array("first", "last"))))
-    dealt = both.join(busy, ["host", "key"], "left_anti").select("host", "key", "piece", "page", "many", "tokens")
-    dealt = dealt.repartition(n, "host", "key").sortWithinPartitions("host", "key")
-    found = dealt.mapInArrow(lambda b: _repeated(_whole(b)), "host long, piece long, inner int, pages int").distinct()
-
-    single = both.join(busy, ["host", "key"], "left_semi").select("host", "piece", "page", "many", "tokens")
-    single = single.mapInArrow(_windows, "host long, piece long, page long, many boolean, inner int, window binary").withColumn("window", F.xxhash64("host", "window"))
-    count = F.when(F.max("many"), PAGES).otherwise(F.least(F.countDistinct("page"), F.lit(PAGES))).cast("int")
-    known = single.groupBy("host", "window").agg(count.alias("pages")).filter("pages > 1")
-    found = found.union(single.select("host", "piece", "inner", "window").distinct().join(known, ["host", "window"]).select("host", "piece", "inner", "pages"))
-
-    found = found.join(need, "host").filter("pages >= need").select("piece", "inner")
-    places = named.select("page_id", "copy", "at", "piece").join(found, "piece")
-    places = places.groupBy("page_id", "copy").agg(F.collect_set(F.col("at") + F.col("inner")).alias("starts"))
-    joined = own.join(places, ["page_id", "copy"], "left").select("page_id", "url", "html", "starts")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    cells = own.mapInArrow(_cells, CELLS).repartition(n, "chunk")  # read three times, written once
+
+    def with_answers(answers: DataFrame) -> DataFrame:
+        answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "body")).alias("answers"))
+        return cells.join(answers.hint("shuffle_hash"), "chunk", "left")
+
+    shared = answered(cells.mapInArrow(_asks(n), MOVED), n, _shared(frequent))
+    found = answered(with_answers(shared).mapInArrow(_segments(n), MOVED), n, _repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "html"):
-            texts = []
-            for page, starts in zip(batch.column("html").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                texts.append("\n\n".join(b.text for b in main_text(blocks(page or ""), starts or [])))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string")
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut between keys; input is sorted by host and key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = np.stack([batch.column("host").to_numpy(), batch.column("key").to_numpy()], axis=1)
-        change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        if held:
-            last = (held[-1].column("host")[-1].as_py(), held[-1].column("key")[-1].as_py())
-            if tuple(keys[0]) != last:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if len(change):
-            cut = int(change[-1])
-            held.append(batch.slice(0, cut))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for batch in batches:
+            for body, answers in zip(batch.column("body").to_pylist(), batch.column("answers").to_pylist(), strict=True):
+                ids, urls, parsed = _pages(body)
+                texts = ["\n\n".join(b.text for b in main_text(*of)) for of in zip(parsed, _starts(answers, len(ids)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return with_answers(found).mapInArrow(run, "page_id long, url string, text string")
 
 
 def op3_host_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Corpus operators against plain versions, on small and on awkward tables."""
 
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -233,6 +234,58 @@ def test_boilerplate_of_short_pages_and_long_tokens(spark, frequent):
     assert got == {i: own_words(i, 15) for i in range(4)} | {9: copied, 10: copied + " edited"} | long
 
 
+def held(spark):
+    """Bytes of the session's shuffle and checkpoint files."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+    kept = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) if folder else 0
+    return kept + sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files))
+
+
+def test_pages_take_less_disk_than_their_streams(spark, tmp_path):
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 10))) for _ in range(5000)]
+    notes = [words(rng, 30, pool) for _ in range(40)]
+    rows = [(i, f"http://h{i % 9}/{i}", page(f"<div>{notes[i % 40]}</div><p>{words(rng, 250, pool)}</p>")) for i in range(2000)]
+    at = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(at)
+    size = sum(f.stat().st_size for f in (tmp_path / "pages.parquet").glob("*.parquet"))
+    before = held(spark)
+    html.extract(spark.read.parquet(at)).write.parquet(str(tmp_path / "texts"))
+    assert held(spark) - before < 1.5 * size
+
+
+@pytest.mark.parametrize("frequent", [html.FREQUENT, 1])
+def test_repeated_runs_against_all_windows(spark, frequent):
+    rng = random.Random(6)
+    pool = ["a", "b", "Ab", "ß" * 70 + "x", "ß" * 70 + "y", "\u0391\u03a3", "&amp;", "c" * 300]
+    notes = [words(rng, rng.randrange(3, 20), pool) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        boxes = [rng.choice(notes) if rng.random() < 0.5 else words(rng, rng.randrange(0, 25), pool[: 2 + i % 7]) for _ in range(rng.randrange(0, 5))]
+        rows.append((i if i % 17 else None, rng.choice([None, "x", "http://one/1", "//TWO/2", "http://two:80/", f"http://few/{i}"]), page("".join(rng.choice(["<p>{}</p>", "<nav>{}</nav>", "<main>{}</main>"]).format(b) for b in boxes))))
+    rows += rows[:40] + [(500 + i, "http://pair/", page(f"<p>{words(rng, 12, ['same'])} {i % 2}</p>")) for i in range(4)]
+    rows += [(600, None, None), (601, "http://one/", "")]
+
+    parsed = [html.blocks(text or "") for _, _, text in rows]
+    said = [" ".join(b.text.lower() for b in of if b.open) for of in parsed]
+    streams = [[w for b in of for w in b.text.lower().split()] for of in parsed]
+    pages, hosts = {}, {}
+    for (i, url, _), name, stream in zip(rows, said, streams, strict=True):
+        if i is not None:
+            hosts.setdefault(html.host(url), set()).add(name)
+            for k in range(len(stream) - 7):
+                pages.setdefault((html.host(url), *stream[k : k + 8]), set()).add(name)
+    want = []
+    for (i, url, _), of, stream in zip(rows, parsed, streams, strict=True):
+        most = min(len(hosts.get(html.host(url), ())), 3)
+        starts = [k for k in range(len(stream) - 7) if i is not None and most > 1 and len(pages[html.host(url), *stream[k : k + 8]]) >= most]
+        want.append((i, url, "\n\n".join(b.text for b in html.main_text(of, starts))))
+    got = html.extract(spark.createDataFrame(rows, PAGE).repartition(5), frequent).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(text != "\n\n".join(b.text for b in html.main_text(of, [])) for (_, _, text), of in zip(want, parsed, strict=True)) > 20
+
+
 # --- quality and toxicity
 
 
