@@ -1,5 +1,7 @@
+import glob
 import json
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -120,3 +122,72 @@ def test_steps_of_a_batch_are_compact_and_go_with_it(spark, tmp_path, monkeypatc
     live.start_live(stream, lambda: registry, f"{tmp_path}/out", available_now=True).awaitTermination()
     assert [r.client_order_id for r in spark.read.parquet(f"{tmp_path}/out/events").collect()] == ["O1"]
     assert len(kept) >= 4 and not any(os.path.exists(f) for f in kept)
+
+
+def busy_log(spark, path):
+    """Two files: 30 orders with fills, some of them done early, cancelled, late or repeated, and entries of no order."""
+    first, second, seq = [], [], 100
+    for i in range(30):
+        coid = f"O{i}"
+        first += [order(seq, "OrderInitialized", coid, quantity="10", order_side="BUY"), order(seq + 1, "OrderFilled", coid, last_qty="4", last_px=f"{i}.5")]
+        first += [order(seq + 2, "OrderFilled", coid, last_qty="6", last_px="2")] if i % 3 == 0 else []
+        first += [order(seq + 2, "OrderCanceled", coid)] if i % 3 == 1 else []
+        second += [order(seq + 5, "OrderFilled", coid, last_qty="6", last_px="3")]
+        second += [order(seq - 90, "OrderFilled", coid, last_qty="1", last_px="1")] if i % 4 == 0 else []
+        second += [order(seq + 5, "OrderFilled", coid, last_qty="6", last_px="3")] if i % 5 == 0 else []
+        first += [entry(seq + 7, "events.position.V", {"type": "PositionOpened", "strategy_id": f"Cls-S{i % 3}"}), entry(seq + 8, "ops.report.fills", None)]
+        seq += 10
+    append(spark, f"{path}/log", first)
+    append(spark, f"{path}/log", second)
+    return len(first)
+
+
+def plain_rows(df, *without):
+    return sorted(str(r) for r in df.drop("channel", *without).collect())
+
+
+def test_slices_of_a_batch_leave_what_the_whole_batch_does(spark, tmp_path, monkeypatch):
+    """A batch cut by order gives the same events, late rows and states; its steps never hold more than a slice."""
+    rows = busy_log(spark, tmp_path)
+    registry = spark.createDataFrame([("FOO", "live"), ("S1", "live")], "strategy_id string, mode string")
+    steps, sizes = [], []
+
+    def watched(df, folder):
+        if "/steps/" in folder:
+            if folder.endswith("/0"):
+                steps.append(sorted(os.listdir(os.path.dirname(folder))) if os.path.exists(os.path.dirname(folder)) else [])
+            sizes.append((kept := session.stored(df, folder)).count())
+            return kept
+        return session.stored(df, folder)
+
+    monkeypatch.setattr(live, "stored", watched)
+    for name, most in (("whole", 1_000_000), ("cut", 50)):
+        steps.clear(), sizes.clear()
+        log = logs.stream_log(spark, f"{tmp_path}/log", max_files=1)
+        live.start_live(log, lambda: registry, f"{tmp_path}/{name}", available_now=True, slice_rows=most).awaitTermination()
+        if name == "whole":
+            assert len(steps) == 2 and max(sizes) > 60
+    assert len(steps) == -(-rows // 50) + 1 and not any(steps) and max(sizes) < rows / 2
+    whole, cut = ([spark.read.parquet(f"{tmp_path}/{n}/{x}") for x in ("events", "late", "states/delta")] for n in ("whole", "cut"))
+    assert [plain_rows(df, "s_at") for df in cut] == [plain_rows(df, "s_at") for df in whole]
+    assert whole[0].count() > 60 and whole[1].count() >= 8 and whole[2].count() == 60
+    assert [r.channel for r in cut[0].orderBy("seq", "topic").collect()] == [r.channel for r in whole[0].orderBy("seq", "topic").collect()]
+    assert not os.listdir(f"{tmp_path}/cut/work")
+
+
+def test_shuffles_of_a_batch_go_with_its_steps(spark, tmp_path):
+    """Shuffle files do not pile up until the driver's memory is cleaned."""
+    busy_log(spark, tmp_path)
+    registry = spark.createDataFrame([("FOO", "live")], "strategy_id string, mode string")
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+    before = shuffles()
+    start_live(logs.stream_log(spark, f"{tmp_path}/log", max_files=1), lambda: registry, f"{tmp_path}/out", available_now=True).awaitTermination()
+    for _ in range(20):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.5)
+    assert not left
